@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import op1_decontaminate, op3_substrings, op4_mix
+from . import op1_decontaminate, op2_tokens, op3_substrings, op4_mix, op5_quality, op6_minhash, op9_secrets
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate.op1_decontaminate,
+    "op2_token_counts": op2_tokens.op2_token_counts,
     "op3_substring_dedup": op3_substrings.op3_substring_dedup,
     "op4_mix": op4_mix.op4_mix,
+    "op5_quality": op5_quality.op5_quality,
+    "op6_minhash": op6_minhash.op6_minhash,
+    "op9_secrets": op9_secrets.op9_secrets,
 }
 
 ORACLES = {
     "op1_decontaminate": op1_decontaminate.SQL,
     "op3_substring_dedup": op3_substrings.SQL,
     "op4_mix": op4_mix.SQL,
+    "op6_minhash": op6_minhash.SQL,
 }
