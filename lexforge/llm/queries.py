@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_decontaminate, op2_tokens, op3_substrings, op4_mix, op5_quality, op6_minhash, op9_secrets
+from . import op1_decontaminate, op2_tokens, op3_substrings, op4_mix, op5_quality, op6_minhash, op8_lines, op9_secrets, op10_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate.op1_decontaminate,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_mix": op4_mix.op4_mix,
     "op5_quality": op5_quality.op5_quality,
     "op6_minhash": op6_minhash.op6_minhash,
+    "op8_line_dedup": op8_lines.op8_line_dedup,
     "op9_secrets": op9_secrets.op9_secrets,
+    "op10_toxicity": op10_toxicity.op10_toxicity,
 }
 
 ORACLES = {
