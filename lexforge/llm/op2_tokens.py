@@ -22,7 +22,9 @@ from .common import shared_dir, store, table
 #: White space around a space: where a text must not be cut before that space.
 _BLURRED = re.compile(r"\s \s|\s \Z")
 #: Distinct pieces that a worker remembers.
-_PIECES = 600_000
+_PIECES = 250_000
+#: Texts, and new pieces, that are encoded at a time.
+_TEXTS, _NEW = 64, 4096
 _workers: dict[str, object] = {}
 
 
@@ -60,14 +62,16 @@ class _Counter:
         for i, n in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
             out[i] = n
         odd = set(whole)
-        for lo in range(0, len(texts), 256):
-            cut = {i: texts[i].split(" ") for i in range(lo, min(lo + 256, len(texts))) if i not in odd}
+        for lo in range(0, len(texts), _TEXTS):
+            cut = {i: texts[i].split(" ") for i in range(lo, min(lo + _TEXTS, len(texts))) if i not in odd}
             firsts = {i: parts.pop(0) for i, parts in cut.items()}
             new = list(set().union(*cut.values()).difference(self.known))
             if len(self.known) + len(new) > _PIECES:
                 self.known.clear()
                 new = list(set().union(*cut.values()))
-            self.known.update(zip(new, self.encode([" " + x for x in new]), strict=True))
+            for at in range(0, len(new), _NEW):
+                part = new[at : at + _NEW]
+                self.known.update(zip(part, self.encode([" " + x for x in part]), strict=True))
             for (i, parts), n in zip(cut.items(), self.encode(list(firsts.values())), strict=True):
                 out[i] = n + sum(map(self.known.__getitem__, parts))
         return out
@@ -79,7 +83,10 @@ def _encode(path: str, version: str):
             _workers[version] = _Counter(path)
         counter = _workers[version]
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counter.count([x or "" for x in b.column(1).to_pylist()]), pa.int64())], ["digest", "n_tokens"])
+            counts: list[int] = []
+            for lo in range(0, b.num_rows, 8 * _TEXTS):
+                counts += counter.count([x or "" for x in b.column(1).slice(lo, 8 * _TEXTS).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     return run
 
