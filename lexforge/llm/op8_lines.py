@@ -269,7 +269,8 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, **options) -> DataFrame:
     """
     gone = recurring_lines(docs, min_docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("drop"))
     clash = [c for c in docs.columns if c in ("kept_text", "n_lines", "n_dropped", "drop", "_key")]
-    joined = same(docs.drop(*clash), gone, "doc_id")
+    # texts are dealt by doc_id at every size, whether the list of lines could be broadcast or not
+    joined = same(docs.drop(*clash), gone.hint("merge"), "doc_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
     return joined.mapInArrow(_rebuild, f"{schema}, kept_text string, n_lines bigint, n_dropped bigint")
 
