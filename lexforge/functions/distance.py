@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import MARK_ORDER
 
@@ -42,18 +43,18 @@ def weighted(a: str, b: str, near: float = 0.5, mark: float = 0.5, swap: float =
     return alignment(a, b, lambda x, y: near if (x, y) in _NEAR else 1.0, lambda x: mark if x in MARK_ORDER else 1.0, swap)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def osa(a: pd.Series, b: pd.Series) -> pd.Series:
     """Optimal string alignment distance; null if either is."""
     return pd.Series([None if x is None or y is None else int(alignment(x, y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def weighted_osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else weighted(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def sequence_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Alignment over parts (such as syllables) instead of characters."""
     return pd.Series([None if x is None or y is None else int(alignment(list(x), list(y))) for x, y in zip(a, b, strict=True)], dtype="Int32")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the Myanmar script.
 CONSONANTS = "က-အ"
@@ -75,7 +76,7 @@ def reorder_marks(text: str) -> str:
     return "".join(out + sorted(run, key=MARK_ORDER.__getitem__))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFC, without zero-width characters, marks in order; Spark has no built-in for NFC."""
     drop = str.maketrans("", "", ZERO_WIDTH)
