@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from .common import store, table
 from .kernels import LOWER, NOT_SPACE, U64, Words, _Powers, chunks, group_starts
 
 #: Predictors: bytes before (0: the word so far), and bits of the slots of their half-byte contexts.
-CONTEXTS = ((2, 14), (4, 18), (6, 20), (0, 20))
+CONTEXTS = ((2, 14), (4, 18), (6, 19), (0, 19))
 K = len(CONTEXTS)
 #: The predictors by whose slots the gate is chosen.
 _GATED = (1, 3)
@@ -101,10 +101,13 @@ def slots(buf: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]
 class Model:
     """Tables of a trained model: for each predictor and (slot, half byte) four signed logits in one word, and whether slots are well known."""
 
-    def __init__(self, counts: list[np.ndarray], weights: np.ndarray) -> None:
+    def __init__(self, counts: Iterable[np.ndarray], weights: np.ndarray) -> None:
         self.weights = weights / np.float32(16)  # logits are in sixteenths
-        self.packed = [pack(c) for c in counts]
-        self.known = {k: (counts[k].sum(axis=1) >= _KNOWN).astype(np.int8) for k in _GATED}
+        self.packed, self.known = [], {}
+        for k, c in enumerate(counts):  # one table of counts at a time
+            self.packed.append(pack(c))
+            if k in _GATED:
+                self.known[k] = (c.sum(axis=1) >= _KNOWN).astype(np.int8)
 
     def mixed(self, sl: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Mixed signed logits (places, 8): of the bits that are there."""
@@ -214,8 +217,8 @@ def _count_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     sums = [np.zeros(16 << b, np.uint32) for _, b in CONTEXTS]
     for b in batches:
         train = pa.array(np.flatnonzero(~held_out(b.column(0))))
-        for _, _, data, off in chunks(b.column(1).take(train), 1 << 21):
-            step = 1 << 22
+        for _, _, data, off in chunks(b.column(1).take(train), 1 << 18):
+            step = 1 << 18
             buf, at, _ = padded(data, off)
             for lo in range(0, len(at), step):
                 here = at[lo : lo + step]
@@ -250,11 +253,13 @@ def _sum_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def unpack_tables(rows: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
-    out = [np.zeros((1 << b, 16), np.uint32) for _, b in CONTEXTS]
-    for k, block, blob in rows:
-        out[k][block * _BLOCK_SLOTS : (block + 1) * _BLOCK_SLOTS] = np.frombuffer(zlib.decompress(blob), "<u4").reshape(_BLOCK_SLOTS, 16)
-    return out
+def unpack_tables(rows: list[tuple[int, int, bytes]]) -> Iterator[np.ndarray]:
+    """The tables of counts, one after the other."""
+    for k, (_, bits) in enumerate(CONTEXTS):
+        out = np.zeros((1 << bits, 16), np.uint32)
+        for _, block, blob in (r for r in rows if r[0] == k):
+            out[block * _BLOCK_SLOTS : (block + 1) * _BLOCK_SLOTS] = np.frombuffer(zlib.decompress(blob), "<u4").reshape(_BLOCK_SLOTS, 16)
+        yield out
 
 
 def learn_weights(counts: list[np.ndarray], texts: list[str], rate: float = 0.006, rounds: int = 3, prior: float = PRIOR) -> np.ndarray:
@@ -426,7 +431,7 @@ def _doc_rows(n: int, v: int):
     return run
 
 
-def lm_scores(docs: DataFrame, sample: int = 150, sample_bytes: int = 8_000, flush: int = 3_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, sample: int = 150, sample_bytes: int = 8_000, flush: int = 1_500_000) -> DataFrame:
     """Return (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs`` (doc_id bigint, text).
 
     Trains on the rows that aren't held out. ``sample`` texts of at most ``sample_bytes`` bytes, the least by hash, give the mixing weights; counts come from
@@ -437,7 +442,7 @@ def lm_scores(docs: DataFrame, sample: int = 150, sample_bytes: int = 8_000, flu
     docs = docs.select("doc_id", "text")
     tables = docs.mapInArrow(_count_tables, "k int, block int, keys binary, counts binary").repartition("k", "block").sortWithinPartitions("k", "block")
     rows = [tuple(r) for r in tables.mapInArrow(_sum_tables, "k int, block int, table binary").collect()]  # of fixed shape: sum of 2**bits * 16 counts
-    counts = unpack_tables(rows)
+    counts = list(unpack_tables(rows))
     fit = docs.filter((F.octet_length("text") <= sample_bytes) & F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True)))
     texts = [r[0] for r in fit.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "text").select("text").limit(sample).collect()]
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, rows, learn_weights(counts, texts)))
