@@ -217,14 +217,17 @@ def features(hits: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(hits)), plain > 0, np.log1p(np.maximum(plain - 1, 0)), np.log1p(wrong), np.log1p(quoted), np.maximum(weak - 1, 0)])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 50) -> np.ndarray:
-    """Weights by Newton's method, with a ridge on all but the intercept."""
-    beta = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[0] = 1e-3
+#: Ridge of each weight and where it pulls to: one plain hit may mean all, and misspelled hits count until the sample says otherwise.
+_RIDGE = np.array([1e-3, 0.02, 0.3, 0.3, 0.3, 0.3])
+_PULL = np.array([0.0, 0.0, 0.0, 4.0, 0.0, 0.0])
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray = _RIDGE, pull: np.ndarray = _PULL, steps: int = 80) -> np.ndarray:
+    """Weights by Newton's method under a quadratic penalty."""
+    beta = pull.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * beta)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * (beta - pull))
         beta += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
@@ -265,7 +268,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, width: in
     ``sample`` bounds the labelled documents that are learned from: those with the least hashes among the rows that aren't held out;
     of sampled documents that begin with the same six words one for each label teaches, so that copies don't make their own words look toxic.
     Null and empty texts have no hits and score like a text without any. Null labels and ids teach nothing; a doc_id with both labels is toxic. Without labels
-    of both kinds every score is that of the prior (0.5 without any). Rows are scored one by one; other columns are ignored.
+    of both kinds nothing is learned and every score is 0. Rows are scored one by one; other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -290,7 +293,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, width: in
             x = np.array([[r[0], r[1], r[2], r[3]] for r in got])
             beta = fit_logistic(features(x), np.array([r[4] for r in got], float))
     scored = docs.mapInArrow(_scores(machines, beta, width), "doc_id bigint, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    score = F.col("score") if n_toxic and n_clean else F.lit(0.0)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
