@@ -1 +1,5 @@
 """Queries on the test tables."""
+
+from . import checks, corpus
+
+MODULES = (corpus, checks)
