@@ -213,7 +213,7 @@ def held_out(ids: pa.Array) -> np.ndarray:
 
 
 def _count_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to sparse (predictor, block of slots, keys, counts) of the training documents."""
+    """(doc_id, text) to sparse (predictor, block of slots, gaps of keys, counts) of the training documents, compressed."""
     sums = [np.zeros(16 << b, np.uint32) for _, b in CONTEXTS]
     for b in batches:
         train = pa.array(np.flatnonzero(~held_out(b.column(0))))
@@ -231,7 +231,7 @@ def _count_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for block, part in enumerate(s.reshape(-1, _BLOCK_SLOTS * 16)):
             keys = np.flatnonzero(part)
             if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([keys.astype("<u2").tobytes()], pa.binary()), pa.array([part[keys].astype("<u4").tobytes()], pa.binary())], ["k", "block", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([zlib.compress(np.diff(keys, prepend=0).astype("<u2").tobytes(), 1)], pa.binary()), pa.array([zlib.compress(part[keys].astype("<u4").tobytes(), 1)], pa.binary())], ["k", "block", "keys", "counts"])
 
 
 def _sum_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +248,7 @@ def _sum_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     yield out()
                 now, total = (k, block), np.zeros(_BLOCK_SLOTS * 16, np.int64)
-            total[np.frombuffer(keys, "<u2")] += np.frombuffer(counts, "<u4")
+            total[np.cumsum(np.frombuffer(zlib.decompress(keys), "<u2"))] += np.frombuffer(zlib.decompress(counts), "<u4")
     if now is not None:
         yield out()
 
@@ -294,6 +294,15 @@ def learn_weights(counts: list[np.ndarray], texts: list[str], rate: float = 0.00
     return w
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Two rows of counts, low and high bytes apart, compressed."""
+    return zlib.compress(np.stack(arrays).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").reshape(2, -1)
+
+
 def _model(shared) -> Model:
     key, rows, weights = shared.value
     if key not in _models:
@@ -303,7 +312,7 @@ def _model(shared) -> Model:
 
 
 def _score_rows(shared, buckets: int, flush: int):
-    """Arrow function: (doc_id, text) to rows of two kinds, by task part: bucket >= 0 holds a bucket's tokens and postings, bucket -1 the documents."""
+    """Arrow function: (doc_id, text) to rows of two kinds, by task part: bucket >= 0 holds a bucket's tokens and postings, bucket < 0 the documents."""
     fields = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,12 +334,12 @@ def _score_rows(shared, buckets: int, flush: int):
             n_post = np.diff(np.r_[token, len(h)])
             ends = np.searchsorted(bucket, np.arange(buckets + 1).astype(U64))
             tends = np.searchsorted(token, ends)
-            rows = [(-1, key, np.array(ids_all, "<i8").tobytes(), np.array([valid_all, held_all, tok_all], "<i8").tobytes(), np.array(score_all, "<f8").tobytes())]
+            rows = [(-1 - key % buckets, key, np.array(ids_all, "<i8").tobytes(), np.array([valid_all, held_all, tok_all], "<i8").tobytes(), np.array(score_all, "<f8").tobytes())]
             for i in range(buckets):
                 x, y = tends[i], tends[i + 1]
                 if y > x:
                     p = slice(ends[i], ends[i + 1])
-                    rows.append((i, key, h[token[x:y]].astype("<u8").tobytes(), np.stack([train[x:y], n_post[x:y]]).astype("<u4").tobytes(), np.stack([d[p], tf[p]]).astype("<u4").tobytes()))
+                    rows.append((i, key, h[token[x:y]].astype("<u8").tobytes(), _packed(train[x:y], n_post[x:y]), _packed(d[p], tf[p])))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
         for b in batches:
@@ -363,30 +372,35 @@ def _score_rows(shared, buckets: int, flush: int):
 
 
 def _base_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket to (part, sums, stats): for each part of a bucket its documents' sums of log10(c + 1) and known tokens; and once a bucket its training tokens, all and distinct."""
+    """Rows sorted by bucket to (part, kind, a, b, c, n, v). Kind 0: the documents of a part as they came. Kind 1: for each part of a bucket its documents' sums
+    of log10(c + 1) and known tokens; n and v are the bucket's training tokens, all and distinct, once a bucket."""
     now, held = None, []
-    names = ["part", "docs", "sums", "known", "n", "v"]
+    names = ["part", "kind", "a", "b", "c", "n", "v"]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def out() -> pa.RecordBatch:
         h = [np.frombuffer(r[1], "<u8") for r in held]
-        stats = [np.frombuffer(r[2], "<u4").reshape(2, -1) for r in held]
+        stats = [_unpacked(r[2]) for r in held]
         kinds, inverse = np.unique(np.concatenate(h), return_inverse=True)
         count = np.bincount(inverse, weights=np.concatenate([s[0] for s in stats]).astype(float), minlength=len(kinds))
         rows, lo = [], 0
         for i, (r, s) in enumerate(zip(held, stats, strict=True)):
             c = count[inverse[lo : lo + s.shape[1]]]
             lo += s.shape[1]
-            d, tf = np.frombuffer(r[3], "<u4").reshape(2, -1)
+            d, tf = _unpacked(r[3])
             c = np.repeat(c, s[1])
             who, at = np.unique(d, return_inverse=True)
             sums = np.bincount(at, weights=tf * np.log10(c + 1), minlength=len(who))
             known = np.bincount(at, weights=tf * (c > 0), minlength=len(who))
-            rows.append((r[0], who.astype("<u4").tobytes(), sums.astype("<f8").tobytes(), known.astype("<u4").tobytes(), int(count.sum()) if i == 0 else 0, int((count > 0).sum()) if i == 0 else 0))
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            rows.append((r[0], 1, who.astype("<u4").tobytes(), sums.astype("<f8").tobytes(), known.astype("<u4").tobytes(), int(count.sum()) if i == 0 else 0, int((count > 0).sum()) if i == 0 else 0))
+        return made(rows)
 
     for b in batches:
         for bucket, part, x, y, z in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+            if bucket < 0:
+                yield made([(part, 0, x, y, z, 0, 0)])
+                continue
             if bucket != now:
                 if held:
                     yield out()
@@ -447,13 +461,12 @@ def lm_scores(docs: DataFrame, sample: int = 150, sample_bytes: int = 8_000, flu
     texts = [r[0] for r in fit.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "text").select("text").limit(sample).collect()]
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, rows, learn_weights(counts, texts)))
     del counts
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = store(docs.mapInArrow(_score_rows(shared, buckets, flush), "bucket int, part bigint, a binary, b binary, c binary"))
-    sums = parts.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket", "part").mapInArrow(_base_rows, "part bigint, docs binary, sums binary, known binary, n bigint, v bigint")
-    sums = store(sums)
-    n, v = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    heads = parts.filter("bucket = -1").select("part", F.lit(0).alias("kind"), "a", "b", "c")
-    both = heads.unionByName(sums.select("part", F.lit(1).alias("kind"), F.col("docs").alias("a"), F.col("sums").alias("b"), F.col("known").alias("c")))
+    # a bucket holds the tokens of a few shuffle partitions; its arrays are in memory at once
+    buckets = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    parts = docs.mapInArrow(_score_rows(shared, buckets, flush), "bucket int, part bigint, a binary, b binary, c binary").repartition("bucket").sortWithinPartitions("bucket", "part")
+    both = store(parts.mapInArrow(_base_rows, "part bigint, kind int, a binary, b binary, c binary, n bigint, v bigint"))
+    n, v = both.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    both = both.drop("n", "v")
     out = both.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_doc_rows(n, v), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out
 
