@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, store, table
+from .common import batches_of, shared_dir, store, table
 
 #: White space around a space: where a text must not be cut before that space.
 _BLURRED = re.compile(r"\s \s|\s \Z")
 #: Distinct pieces that a worker remembers.
-_PIECES = 250_000
+_PIECES = 150_000
 #: Texts, and new pieces, that are encoded at a time.
-_TEXTS, _NEW = 64, 4096
+_TEXTS, _NEW = 64, 1024
 _workers: dict[str, object] = {}
 
 
@@ -56,12 +56,11 @@ class _Counter:
 
     def count(self, texts: list[str]) -> list[int]:
         if not self.cuts:
-            return self.encode(texts)
+            return [self.encode([x])[0] for x in texts]
         out = [0] * len(texts)
-        whole = [i for i, x in enumerate(texts) if _BLURRED.search(x) or any(s in x for s in self.specials)]
-        for i, n in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
-            out[i] = n
-        odd = set(whole)
+        odd = {i for i, x in enumerate(texts) if _BLURRED.search(x) or any(s in x for s in self.specials)}
+        for i in odd:  # one at a time: an encoding is much larger than its text
+            out[i] = self.encode([texts[i]])[0]
         for lo in range(0, len(texts), _TEXTS):
             cut = {i: texts[i].split(" ") for i in range(lo, min(lo + _TEXTS, len(texts))) if i not in odd}
             firsts = {i: parts.pop(0) for i, parts in cut.items()}
@@ -115,7 +114,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     missing = rows.join(known, "digest", "left_anti").groupBy("digest").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)))).alias("x")).select("digest", F.col("x.col1").alias("one"))
     chosen = keyed.withColumn("one", F.coalesce("doc_id", F.lit(0))).join(missing, ["digest", "one"]).select("digest", "text")
     counted = chosen.mapInArrow(_encode(tokenizer, version), "digest binary, n_tokens bigint").groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-    counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    with batches_of(spark, 500):
+        counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     known = spark.read.schema(schema).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     return rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
