@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import batches_of, store, table
 from .kernels import LOWER, NOT_SPACE, U64, Words, _Powers, chunks, group_starts
 
 #: Predictors: bytes before (0: the word so far), and bits of the slots of their half-byte contexts.
@@ -452,6 +452,13 @@ def lm_scores(docs: DataFrame, sample: int = 150, sample_bytes: int = 8_000, flu
     all training texts. Null text is empty: one token, the end. Rows are scored one by one, repeated or with null doc_id as well. Other columns are
     ignored. Without documents there are no rows; without training documents the model is uniform and c, N and V are 0.
     """
+    # the models take the room that large Arrow batches would
+    with batches_of(docs.sparkSession, 500):
+        return _lm_scores(docs, sample, sample_bytes, flush)
+
+
+def _lm_scores(docs: DataFrame, sample: int, sample_bytes: int, flush: int) -> DataFrame:
+    """See ``lm_scores``."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     tables = docs.mapInArrow(_count_tables, "k int, block int, keys binary, counts binary").repartition("k", "block").sortWithinPartitions("k", "block")
