@@ -1,5 +1,5 @@
 """Queries on the test tables."""
 
-from . import checks, corpus
+from . import checks, corpus, myanmar
 
-MODULES = (corpus, checks)
+MODULES = (corpus, checks, myanmar)
