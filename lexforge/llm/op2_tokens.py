@@ -8,6 +8,7 @@ encoded, and the new counts are appended to the cache.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from .common import batches_of, shared_dir, store, table
 #: White space around a space: where a text must not be cut before that space.
 _BLURRED = re.compile(r"\s \s|\s \Z")
 #: Distinct pieces that a worker remembers.
-_PIECES = 150_000
+_PIECES = 100_000
 #: Texts, and new pieces, that are encoded at a time.
 _TEXTS, _NEW = 64, 1024
 _workers: dict[str, object] = {}
@@ -45,6 +46,8 @@ class _Counter:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.cuts, self.encode = False, lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
+            # a task has one core; the library's threads would each keep freed memory of their own
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer, pre_tokenizers
 
             t = Tokenizer.from_file(path)
