@@ -1,20 +1,20 @@
 """LM scoring by logistic context mixing over bits.
 
 A text is its lower-cased bytes and an end symbol (0xFF, which UTF-8 doesn't have). Each byte is eight binary decisions. For every decision several
-predictors, by hashed contexts (the last two, four and six bytes, and the word so far), have a logit from the counts of the training
+predictors (the last two, four and six bytes, and the word so far) have a logit from the counts of the training
 documents. The logits are combined by weights that a gate selects (bit position, and whether the two longest contexts are well known); the weights
-are learned online on a bounded sample, each position's own occurrence taken out of the counts. A last stage refines the mix adaptively inside each
-document: scale and bias of each bit position follow the coding loss of the document's blocks so far. All predictions depend
+are learned online over all training texts, part by part, each position's own occurrence taken out of the counts, and averaged. A last stage refines
+the mix adaptively inside each document: scale and bias of each bit position follow the coding loss of the document's blocks so far. All predictions depend
 on what stands before only, so the score is the log10 probability of the text.
 
-Counting is one pass that sums sparse tables of fixed shape in Spark; scoring is a second pass. That pass also
-sends every task's distinct tokens, with the documents that hold them, to buckets by token hash; there the training counts of
-the unigram base are summed and each task's documents get their partial sums back, so the vocabulary may grow with the corpus.
+Counts are kept by the whole context (bytes as they are, the word by 54 bits of hash), so they grow with the corpus. Each task cuts its documents
+into parts of bounded size and sends a part's distinct (context, byte) pairs and tokens to buckets, with their training counts. A bucket sums the counts of
+all parts and answers each part with the logits of its pairs and its documents' sums of the unigram base. The parts then meet their answers twice:
+to learn the weights, and to score.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches_of, store, table
-from .kernels import LOWER, NOT_SPACE, U64, Words, _Powers, chunks, group_starts
+from .kernels import LOWER, NOT_SPACE, U64, Words, _Powers, chunks, group_starts, mix
 
 #: Predictors: bytes before (0: the word so far), and bits of the slots of their half-byte contexts.
 CONTEXTS = ((2, 14), (4, 18), (6, 19), (0, 19))
@@ -33,7 +33,6 @@ K = len(CONTEXTS)
 #: The predictors by whose slots the gate is chosen.
 _GATED = (1, 3)
 _END, _PAD, _BACK = 0xFF, 6, 64
-_BLOCK_SLOTS = 1024
 _GATES = 4
 _KNOWN = 24
 _STEP = 256
@@ -45,7 +44,6 @@ _MUL = U64(0x9E3779B97F4A7C15)
 _WORD, _WORD_INV = _Powers(0x9E3779B97F4A7C15 | 1), _Powers(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 #: Added to the counts of zeros and ones.
 PRIOR = 0.4
-_models: dict[str, object] = {}
 
 
 def padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,6 +96,73 @@ def slots(buf: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
+def pairs(buf: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """For predictor ``k`` the (context, byte) at each of the places ``at`` in one word: predictor (2 bits), context (54), byte (8)."""
+    b = buf.astype(U64)
+    n = len(b)
+    if order := CONTEXTS[k][0]:
+        v = np.zeros(len(at), U64)
+        for i in range(1, order + 1):
+            v = (v << U64(8)) | b[at - i]
+    else:
+        space = ~NOT_SPACE[buf] | (buf == 0)
+        start = np.maximum.accumulate(np.where(space, np.arange(n) + 1, 0))
+        s = np.zeros(n + 1, U64)
+        np.cumsum(b * _WORD.upto(n), out=s[1:])
+        begin = np.r_[0, start[:-1]][at]
+        v = mix((s[at] - s[begin]) * _WORD_INV.upto(n + 1)[begin]) >> U64(10)
+    return ((v | U64(k << 54)) << U64(8)) | b[at]
+
+
+def encoded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(distinct pairs of a part, for each predictor the number of the pair at each coded place)."""
+    keys, numbers, n = [], [], 0
+    for k in range(K):
+        found = np.empty(len(data) + len(off) - 1, U64)
+        for lo, hi in runs(off):
+            buf, at, _ = padded(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            found[off[lo] + lo : off[hi] + hi] = pairs(buf, at, k)
+        d = pa.array(found).dictionary_encode()
+        keys.append(d.dictionary.to_numpy(zero_copy_only=False))
+        numbers.append(d.indices.to_numpy(zero_copy_only=False) + np.int32(n))
+        n += len(keys[-1])
+    return np.concatenate(keys), numbers
+
+
+def runs(off: np.ndarray, limit: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of documents of about ``limit`` bytes."""
+    lo, n = 0, len(off) - 1
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
+def bucketed(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the pairs by bucket of their context and pair, ends of the buckets)."""
+    bucket = mix(keys >> U64(8)) % U64(buckets)
+    bucket = bucket.astype(np.min_scalar_type(buckets))
+    order = np.argsort(keys)  # no two are alike
+    order = order[np.argsort(bucket[order], kind="stable")]
+    return order, np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]
+
+
+def pair_logits(keys: np.ndarray, count: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted distinct pairs, which hold all the bytes of their contexts: signed logits of the eight bits in sixteenths of a nat,
+    the same with one occurrence of the pair taken out, and whether the context is well known."""
+    c = count.astype(np.float64)
+    sums = []
+    for j in range(9):
+        first = group_starts(keys >> U64(8 - j))
+        sums.append(np.repeat(np.add.reduceat(c, first), np.diff(np.r_[first, len(keys)])))
+    full, less = np.empty((len(keys), 8), np.int8), np.empty((len(keys), 8), np.int8)
+    for b in range(8):
+        own, other = sums[b + 1], sums[b] - sums[b + 1] + prior
+        full[:, b] = np.clip(np.rint(16 * np.log((own + prior) / other)), -127, 127)
+        less[:, b] = np.clip(np.rint(16 * np.log((np.maximum(own - 1, 0) + prior) / other)), -127, 127)
+    return full, less, sums[0] >= _KNOWN
+
+
 class Model:
     """Tables of a trained model: for each predictor and (slot, half byte) four signed logits in one word, and whether slots are well known."""
 
@@ -212,86 +277,29 @@ def held_out(ids: pa.Array) -> np.ndarray:
     return np.array([x is not None and zlib.crc32(str(x).encode()) % 7 == 2 for x in ids.to_pylist()], bool)
 
 
-def _count_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to sparse (predictor, block of slots, gaps of keys, counts) of the training documents, compressed."""
-    sums = [np.zeros(16 << b, np.uint32) for _, b in CONTEXTS]
-    for b in batches:
-        train = pa.array(np.flatnonzero(~held_out(b.column(0))))
-        for _, _, data, off in chunks(b.column(1).take(train), 1 << 18):
-            step = 1 << 18
-            buf, at, _ = padded(data, off)
-            for lo in range(0, len(at), step):
-                here = at[lo : lo + step]
-                back = max(0, here[0] - _BACK)
-                sub = buf[back : here[-1] + 1]
-                for k, halves in enumerate(slots(sub, here - back)):
-                    for x in halves:
-                        np.add.at(sums[k], x, np.uint32(1))
-    for k, s in enumerate(sums):
-        for block, part in enumerate(s.reshape(-1, _BLOCK_SLOTS * 16)):
-            keys = np.flatnonzero(part)
-            if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([zlib.compress(np.diff(keys, prepend=0).astype("<u2").tobytes(), 1)], pa.binary()), pa.array([zlib.compress(part[keys].astype("<u4").tobytes(), 1)], pa.binary())], ["k", "block", "keys", "counts"])
-
-
-def _sum_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (k, block) to one table each, compressed."""
-    now, total = None, None
-
-    def out() -> pa.RecordBatch:
-        blob = zlib.compress(np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes(), 1)
-        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([blob], pa.binary())], ["k", "block", "table"])
+def learn_part(part: Part, w: np.ndarray, rate: float = 0.006, step: int = 512, block: int = 1 << 15) -> int:
+    """Update ``w`` (K, gates, 8) online over the training texts of a part; returns their places."""
+    take = np.flatnonzero(np.repeat(part.held == 0, np.diff(part.off) + 1))
+    for lo in range(0, len(take), block):
+        at = take[lo : lo + block]
+        gate = part.gate(at)
+        x = np.stack([part.less[part.numbers[k][at]] for k in range(K)]).astype(np.float32) / np.float32(16)
+        for i in range(0, len(at), step):
+            y, g = x[:, i : i + step], gate[i : i + step]
+            z = np.clip((y * w[:, g]).sum(axis=0), -30, 30)
+            y = y * (1 / (1 + np.exp(z)))
+            for v in range(_GATES):
+                w[:, v] += np.float32(rate / 4) * y[:, g == v].sum(axis=1)
+    return len(take)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Rows of bytes, column by column, compressed."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
 
-    for b in batches:
-        for k, block, keys, counts in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-            if (k, block) != now:
-                if now is not None:
-                    yield out()
-                now, total = (k, block), np.zeros(_BLOCK_SLOTS * 16, np.int64)
-            total[np.cumsum(np.frombuffer(zlib.decompress(keys), "<u2"))] += np.frombuffer(zlib.decompress(counts), "<u4")
-    if now is not None:
-        yield out()
-
-
-def unpack_tables(rows: list[tuple[int, int, bytes]]) -> Iterator[np.ndarray]:
-    """The tables of counts, one after the other."""
-    for k, (_, bits) in enumerate(CONTEXTS):
-        out = np.zeros((1 << bits, 16), np.uint32)
-        for _, block, blob in (r for r in rows if r[0] == k):
-            out[block * _BLOCK_SLOTS : (block + 1) * _BLOCK_SLOTS] = np.frombuffer(zlib.decompress(blob), "<u4").reshape(_BLOCK_SLOTS, 16)
-        yield out
-
-
-def learn_weights(counts: list[np.ndarray], texts: list[str], rate: float = 0.006, rounds: int = 3, prior: float = PRIOR) -> np.ndarray:
-    """Weights (K, gates, 8) learned online over the sample; every position's own occurrence is taken out of the counts."""
-    w = np.full((K, _GATES, 8), 0.3, np.float32)
-    if not texts:
-        return w
-    (_, _, data, off), = chunks(pa.array(["".join(texts)]), 1 << 40)
-    lens = [len(t.encode()) for t in texts]
-    buf, at, _ = padded(data, np.r_[0, np.cumsum(lens)])
-    sl = slots(buf, at)
-    gate = sum((counts[k].sum(axis=1) >= _KNOWN)[sl[k][0] >> 4].astype(int) << i for i, k in enumerate(_GATED))
-    logits = np.zeros((len(at), 8, K), np.float32)
-    for k in range(K):
-        for half in (0, 1):
-            slot, y = sl[k][half] >> 4, sl[k][half] & 15
-            rows = counts[k][slot].astype(np.float32)
-            i = np.arange(len(y))
-            rows[i, y] = np.maximum(rows[i, y] - 1, 0)
-            for b, zero, one in node_counts(rows):
-                node = y >> (4 - b)
-                logits[:, 4 * half + b, k] = np.clip(np.log((one[i, node] + prior) / (zero[i, node] + prior)), -8, 8) * _SIGNS[y, 4 + b]
-    step = 128
-    for r in range(rounds):
-        for lo in range(0, len(at), step):
-            x, g = logits[lo : lo + step], gate[lo : lo + step]
-            z = np.einsum("nbk,knb->nb", x, w[:, g])
-            err = 1 / (1 + np.exp(np.clip(z, -30, 30)))
-            grad = np.zeros((_GATES, 8, K), np.float32)
-            np.add.at(grad, g, err[:, :, None] * x)
-            w += np.transpose(grad, (2, 0, 1)) * np.float32(rate / (1 + r))
-    return w
+
+def _rows_of(blob: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(width, -1).T)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -303,25 +311,20 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").reshape(2, -1)
 
 
-def _model(shared) -> Model:
-    key, rows, weights = shared.value
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(unpack_tables(rows), weights)
-    return _models[key]
-
-
-def _score_rows(shared, buckets: int, flush: int):
-    """Arrow function: (doc_id, text) to rows of two kinds, by task part: bucket >= 0 holds a bucket's tokens and postings, bucket < 0 the documents."""
+def _requests(buckets: int, flush: int):
+    """Arrow function: (doc_id, text) to rows of three kinds, by task part: buckets below ``buckets`` hold tokens and postings, those from there on (context, byte)
+    pairs and training counts, and bucket < 0 the documents."""
     fields = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, task, part = _model(shared), TaskContext.get().partitionId(), 0
-        ids, held, n_tok, score, toks, docs = [], [], [], [], [], []
+        task, part = TaskContext.get().partitionId(), 0
+        ids, held, n_tok, texts, lens, toks, docs = [], [], [], [], [], [], []
         size = n_docs = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             key = (task << 24) + part
+            held_all, off = np.concatenate(held, axis=1), np.r_[0, np.cumsum(np.concatenate(lens))]
+            data = np.concatenate(texts)
             h, d = np.concatenate(toks), np.concatenate(docs)
             bucket = (h >> U64(40)) % U64(buckets)
             order = np.lexsort((d, h, bucket))
@@ -330,16 +333,27 @@ def _score_rows(shared, buckets: int, flush: int):
             tf = np.diff(np.r_[at, len(h)])
             h, d, bucket = h[at], d[at], bucket[at]
             token = group_starts(h)
-            train = np.add.reduceat(np.where(held_all[d], 0, tf), token)
+            train = np.add.reduceat(np.where(held_all[1][d], 0, tf), token)
             n_post = np.diff(np.r_[token, len(h)])
             ends = np.searchsorted(bucket, np.arange(buckets + 1).astype(U64))
             tends = np.searchsorted(token, ends)
-            rows = [(-1 - key % buckets, key, np.array(ids_all, "<i8").tobytes(), np.array([valid_all, held_all, tok_all], "<i8").tobytes(), np.array(score_all, "<f8").tobytes())]
+            rows = [(-1 - key % buckets, key, np.concatenate(ids).astype("<i8").tobytes(), np.array([*held_all, np.concatenate(n_tok), np.diff(off)], "<i8").tobytes(), zlib.compress(data.tobytes(), 1))]
             for i in range(buckets):
                 x, y = tends[i], tends[i + 1]
                 if y > x:
                     p = slice(ends[i], ends[i + 1])
                     rows.append((i, key, h[token[x:y]].astype("<u8").tobytes(), _packed(train[x:y], n_post[x:y]), _packed(d[p], tf[p])))
+            keys, numbers = encoded(data, off)
+            counted = np.flatnonzero(np.repeat(held_all[1] == 0, np.diff(off) + 1))
+            count = np.zeros(len(keys), np.int64)
+            for x in numbers:
+                count += np.bincount(x[counted], minlength=len(keys))
+            order, ends = bucketed(keys, buckets)
+            keys, count = keys[order], count[order].astype("<u4")
+            for i in range(buckets):
+                if ends[i + 1] > ends[i]:
+                    p = slice(ends[i], ends[i + 1])
+                    rows.append((buckets + i, key, _planes(keys[p]), _planes(count[p]), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
         for b in batches:
@@ -350,36 +364,58 @@ def _score_rows(shared, buckets: int, flush: int):
             for lo, hi, data, off in chunks(b.column(1), 1 << 17):
                 w = Words(data, off, NOT_SPACE, lower=True)
                 m = hi - lo
-                score.append(score_texts(model, data, off))
                 ids.append(plain[lo:hi])
                 held.append(np.stack([valid[lo:hi], out_of[lo:hi]]))
                 n_tok.append(np.diff(w.first) + 1)
+                texts.append(np.array(data))
+                lens.append(np.diff(off))
                 toks += [w.hash, np.full(m, _END_TOKEN)]
                 docs += [w.doc + n_docs, np.arange(m) + n_docs]
                 n_docs += m
-                size += len(w) + m
+                size += len(data) + m
                 if size > flush:
-                    ids_all, (valid_all, held_all), tok_all, score_all = np.concatenate(ids), np.concatenate(held, axis=1), np.concatenate(n_tok), np.concatenate(score)
                     yield from out()
-                    ids, held, n_tok, score, toks, docs = [], [], [], [], [], []
+                    ids, held, n_tok, texts, lens, toks, docs = [], [], [], [], [], [], []
                     size = n_docs = 0
                     part += 1
         if n_docs:
-            ids_all, (valid_all, held_all), tok_all, score_all = np.concatenate(ids), np.concatenate(held, axis=1), np.concatenate(n_tok), np.concatenate(score)
             yield from out()
 
     return run
 
 
-def _base_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket to (part, kind, a, b, c, n, v). Kind 0: the documents of a part as they came. Kind 1: for each part of a bucket its documents' sums
-    of log10(c + 1) and known tokens; n and v are the bucket's training tokens, all and distinct, once a bucket."""
+def _answers(buckets: int):
+    """Arrow function over rows sorted by bucket to (part, kind, a, b, c, n, v). Kind 0: the documents of a part as they came. Kind 1: for each part of a bucket its
+    documents' sums of log10(c + 1) and known tokens; n and v are the bucket's training tokens, all and distinct, once a bucket. Kind 2 + i: logits of the part's pairs in bucket i."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _answer_rows(batches, buckets)
+
+    return run
+
+
+def _answer_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """See ``_answers``."""
     now, held = None, []
     names = ["part", "kind", "a", "b", "c", "n", "v"]
     types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
     made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    def out() -> pa.RecordBatch:
+    def logits() -> Iterator[pa.RecordBatch]:
+        keys = [_rows_of(r[1], 8).view("<u8").reshape(-1) for r in held]
+        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(inverse, weights=np.concatenate([_rows_of(r[2], 4).view("<u4").reshape(-1) for r in held]).astype(float), minlength=len(every))
+        full, less, known = pair_logits(every, count)
+        lo = 0
+        for r, x in zip(held, keys, strict=True):
+            i = inverse[lo : lo + len(x)]
+            lo += len(x)
+            yield made([(r[0], 2 + now - buckets, _planes(full[i]), _planes(less[i]), _planes(known[i]), 0, 0)])
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if now >= buckets:
+            yield from logits()
+            return
         h = [np.frombuffer(r[1], "<u8") for r in held]
         stats = [_unpacked(r[2]) for r in held]
         kinds, inverse = np.unique(np.concatenate(h), return_inverse=True)
@@ -394,7 +430,7 @@ def _base_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.bincount(at, weights=tf * np.log10(c + 1), minlength=len(who))
             known = np.bincount(at, weights=tf * (c > 0), minlength=len(who))
             rows.append((r[0], 1, who.astype("<u4").tobytes(), sums.astype("<f8").tobytes(), known.astype("<u4").tobytes(), int(count.sum()) if i == 0 else 0, int((count > 0).sum()) if i == 0 else 0))
-        return made(rows)
+        yield made(rows)
 
     for b in batches:
         for bucket, part, x, y, z in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
@@ -403,79 +439,144 @@ def _base_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if bucket != now:
                 if held:
-                    yield out()
+                    yield from out()
                 now, held = bucket, []
             held.append((part, x, y, z))
     if held:
-        yield out()
+        yield from out()
+
+
+class Part:
+    """The documents of a part with the answers of all buckets."""
+
+    def __init__(self, ids: bytes, stats: bytes, text: bytes) -> None:
+        self.ids = np.frombuffer(ids, "<i8")
+        self.valid, self.held, self.tok, lens = np.frombuffer(stats, "<i8").reshape(4, -1)
+        self.data, self.off = np.frombuffer(zlib.decompress(text), np.uint8), np.r_[0, np.cumsum(lens)]
+        self.sums, self.n_known = np.zeros(len(lens)), np.zeros(len(lens))
+        self.blobs: list[tuple[int, bytes, bytes, bytes]] = []
+
+    def add(self, kind: int, x: bytes, y: bytes, z: bytes) -> None:
+        if kind == 1:
+            who = np.frombuffer(x, "<u4")
+            self.sums[who] += np.frombuffer(y, "<f8")
+            self.n_known[who] += np.frombuffer(z, "<u4")
+        else:
+            self.blobs.append((kind - 2, x, y, z))
+
+    def meet(self, buckets: int, learn: bool) -> Part:
+        """Number the pairs again and lay their logits out; to learn, those with the own occurrence taken out."""
+        keys, self.numbers = encoded(self.data, self.off)
+        order, ends = bucketed(keys, buckets)
+        table, self.known = np.zeros((len(keys), 8), np.int8), np.zeros(len(keys), np.int8)
+        for i, full, less, known in self.blobs:
+            at = order[ends[i] : ends[i + 1]]
+            table[at] = _rows_of(less if learn else full, 8).view(np.int8)
+            self.known[at] = _rows_of(known, 1)[:, 0]
+        self.blobs = []
+        self.full = self.less = table
+        return self
+
+    def gate(self, at: np.ndarray | slice) -> np.ndarray:
+        return self.known[self.numbers[_GATED[0]][at]] + 2 * self.known[self.numbers[_GATED[1]][at]]
+
+    def scores(self, weights: np.ndarray, piece: int = 1 << 17) -> np.ndarray:
+        """log10 probability of each document."""
+        w = weights / np.float32(16)  # logits are in sixteenths
+        out = np.zeros(len(self.ids))
+        for lo, hi in runs(self.off):
+            _, _, doc = padded(self.data[self.off[lo] : self.off[hi]], self.off[lo : hi + 1] - self.off[lo])
+            byte_at = self.off[lo : hi + 1] - self.off[lo] + np.arange(hi - lo + 1)
+            byte = np.insert(LOWER[self.data[self.off[lo] : self.off[hi]]], (self.off[lo + 1 : hi + 1] - self.off[lo]), _END)
+            first, state = self.off[lo] + lo, None
+            for i in range(0, len(doc), piece if hi - lo == 1 else len(doc)):
+                d = doc[i : i + piece] if hi - lo == 1 else doc
+                at = slice(first + i, first + i + len(d))
+                gate = self.gate(at)
+                z = np.zeros((len(d), 8), np.float32)
+                for k in range(K):
+                    z += self.full[self.numbers[k][at]] * w[k][gate]
+                got, state = refine(z, byte[i : i + len(d)].astype(np.int64), d, np.arange(i, i + len(d)) - byte_at[d], hi - lo, state)
+                out[lo:hi] += got
+        return out
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
+    """The parts of rows sorted by (part, kind)."""
+    now, held = None, None
+    for b in batches:
+        for part, kind, x, y, z in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+            if part != now:
+                if held is not None:
+                    yield held
+                now, held = part, Part(x, y, z)
+            else:
+                held.add(kind, x, y, z)
+    if held is not None:
+        yield held
+
+
+def _learned(buckets: int):
+    """Arrow function over rows sorted by (part, kind): places that taught, and weights times places, of a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros((K, _GATES, 8))
+        for part in _parts(batches):
+            w = start_weights()
+            m = learn_part(part.meet(buckets, True), w)
+            n += m
+            total += m * w.astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.astype("<f8").tobytes()], pa.binary())], ["n", "w"])
+
+    return run
+
+
+def start_weights() -> np.ndarray:
+    return np.full((K, _GATES, 8), 0.3, np.float32)
 
-def _doc_rows(n: int, v: int):
-    """Arrow function over rows sorted by (part, kind): the documents of each part with the sums of all buckets."""
+
+def _doc_rows(buckets: int, n: int, v: int, weights: np.ndarray):
+    """Arrow function over rows sorted by (part, kind): the documents of each part, scored, with the base's sums of all buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, docs, sums, known = None, None, None, None
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         level = np.log10(n + v + 1)
-
-        def out() -> pa.RecordBatch:
-            ids, valid, held, tok, score = docs
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=valid == 0), pa.array(held > 0), pa.array(tok), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), n)), pa.array(sums - tok * level), pa.array(score)], names
+        for p in _parts(batches):
+            score = p.meet(buckets, False).scores(weights)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(p.ids, mask=p.valid == 0), pa.array(p.held > 0), pa.array(p.tok), pa.array(p.n_known.astype(np.int64)), pa.array(np.full(len(p.ids), n)), pa.array(p.sums - p.tok * level), pa.array(score)], names
             )
 
-        for b in batches:
-            for part, kind, x, y, z in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-                if part != now:
-                    if docs is not None:
-                        yield out()
-                    now, docs = part, None
-                if kind == 0:
-                    ids = np.frombuffer(x, "<i8")
-                    valid, held, tok = np.frombuffer(y, "<i8").reshape(3, -1)
-                    docs = ids, valid, held, tok, np.frombuffer(z, "<f8")
-                    sums, known = np.zeros(len(ids)), np.zeros(len(ids))
-                else:
-                    who = np.frombuffer(x, "<u4")
-                    sums[who] += np.frombuffer(y, "<f8")
-                    known[who] += np.frombuffer(z, "<u4")
-        if docs is not None:
-            yield out()
-
     return run
 
 
-def lm_scores(docs: DataFrame, sample: int = 150, sample_bytes: int = 8_000, flush: int = 1_500_000) -> DataFrame:
+def lm_scores(docs: DataFrame, flush: int = 8_000_000) -> DataFrame:
     """Return (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs`` (doc_id bigint, text).
 
-    Trains on the rows that aren't held out. ``sample`` texts of at most ``sample_bytes`` bytes, the least by hash, give the mixing weights; counts come from
-    all training texts. Null text is empty: one token, the end. Rows are scored one by one, repeated or with null doc_id as well. Other columns are
+    Trains on the rows that aren't held out: counts and mixing weights come from all training texts, whole. ``flush`` is the bytes of a part. Null text is
+    empty: one token, the end. Rows are scored one by one, repeated or with null doc_id as well. Other columns are
     ignored. Without documents there are no rows; without training documents the model is uniform and c, N and V are 0.
     """
-    # the models take the room that large Arrow batches would
+    # parts take the room that large Arrow batches would
     with batches_of(docs.sparkSession, 500):
-        return _lm_scores(docs, sample, sample_bytes, flush)
+        return _lm_scores(docs, flush)
 
 
-def _lm_scores(docs: DataFrame, sample: int, sample_bytes: int, flush: int) -> DataFrame:
+def _lm_scores(docs: DataFrame, flush: int) -> DataFrame:
     """See ``lm_scores``."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    tables = docs.mapInArrow(_count_tables, "k int, block int, keys binary, counts binary").repartition("k", "block").sortWithinPartitions("k", "block")
-    rows = [tuple(r) for r in tables.mapInArrow(_sum_tables, "k int, block int, table binary").collect()]  # of fixed shape: sum of 2**bits * 16 counts
-    counts = list(unpack_tables(rows))
-    fit = docs.filter((F.octet_length("text") <= sample_bytes) & F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True)))
-    texts = [r[0] for r in fit.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "text").select("text").limit(sample).collect()]
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, rows, learn_weights(counts, texts)))
-    del counts
-    # a bucket holds the tokens of a few shuffle partitions; its arrays are in memory at once
-    buckets = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    parts = docs.mapInArrow(_score_rows(shared, buckets, flush), "bucket int, part bigint, a binary, b binary, c binary").repartition("bucket").sortWithinPartitions("bucket", "part")
-    both = store(parts.mapInArrow(_base_rows, "part bigint, kind int, a binary, b binary, c binary, n bigint, v bigint"))
+    # a bucket's arrays are in memory at once
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = docs.select("doc_id", "text").mapInArrow(_requests(buckets, flush), "bucket int, part bigint, a binary, b binary, c binary").repartition("bucket").sortWithinPartitions("bucket", "part")
+    both = store(asked.mapInArrow(_answers(buckets), "part bigint, kind int, a binary, b binary, c binary, n bigint, v bigint"))
     n, v = both.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    both = both.drop("n", "v")
-    out = both.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_doc_rows(n, v), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    return out
+    met = both.drop("n", "v").repartition("part").sortWithinPartitions("part", "kind")
+    places, weights = 0, np.zeros((K, _GATES, 8))
+    for m, w in met.mapInArrow(_learned(buckets), "n bigint, w binary").toLocalIterator():  # a row a task
+        places += m
+        weights += np.frombuffer(w, "<f8").reshape(weights.shape)
+    weights = (weights / places).astype(np.float32) if places else start_weights()
+    return met.mapInArrow(_doc_rows(buckets, n, v, weights), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,6 +240,33 @@ def test_op7_pieces_score_alike():
     assert math.isclose(score_texts(model, data, off)[0], score_texts(model, data, off, piece=1024)[0], rel_tol=1e-5)
 
 
+def test_op7_counts_by_whole_context():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 123, 300_000, dtype=np.uint8).tobytes() for _ in range(2)] + [b"short words " * 30, b""]
+    off = np.r_[0, np.cumsum([len(t) for t in texts])]
+    keys, numbers = op7.encoded(np.frombuffer(b"".join(texts), np.uint8), off)
+    want = Counter()
+    for t in texts:
+        t += b"\xff"
+        want.update((t[max(0, i - 6) : i], t[i]) for i in range(len(t)))
+    six = [int(x) for x in np.bincount(numbers[2], minlength=len(keys)) if x]
+    # more contexts of six bytes than 2**19, and none of them shares a count
+    assert len({c for c, _ in want}) > 1 << 19 and len(np.unique(keys)) == len(keys)
+    assert len(np.unique(numbers[2])) == len(want) and sorted(np.bincount(numbers[2])[np.unique(numbers[2])].tolist()) == sorted(want.values()) and sum(six) > 0
+    # logits against plain sums over the bytes of a context
+    few = {(c, y): n for c in (1, 2) for y, n in zip(rng.choice(256, 9, replace=False).tolist(), [0, 0, 1, 1, 2, 3, 9, 30, 200], strict=True)}
+    at = sorted(few)
+    full, less, known = op7.pair_logits(np.array([c << 8 | y for c, y in at], np.uint64), np.array([few[x] for x in at]))
+    for i, (c, y) in enumerate(at):
+        for b in range(8):
+            inside = {z: n for (d, z), n in few.items() if d == c and z >> (8 - b) == y >> (8 - b)}
+            own = sum(n for z, n in inside.items() if z >> (7 - b) == y >> (7 - b))
+            other = sum(inside.values()) - own
+            for got, o in ((full, own), (less, max(own - 1, 0))):
+                assert abs(int(got[i, b]) - max(-127, min(127, 16 * math.log((o + op7.PRIOR) / (other + op7.PRIOR))))) <= 0.51
+        assert known[i]
+
+
 def test_op8_templates(spark):
     rng = random.Random(4)
     prose = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(12))
