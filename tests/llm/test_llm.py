@@ -267,6 +267,32 @@ def test_op7_counts_by_whole_context():
         assert known[i]
 
 
+def test_op7_long_texts_teach(spark):
+    import zlib
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(2500)) for _ in range(24)]  # all above 8,000 bytes
+    data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    held = np.array([zlib.crc32(str(i).encode()) % 7 == 2 for i in range(24)])
+    assert min(len(t) for t in texts) > 8000 and held.any()
+    keys, numbers = op7.encoded(data, off)
+    train = np.repeat(~held, np.diff(off) + 1)
+    order = np.argsort(keys)
+    count = sum(np.bincount(x[train], minlength=len(keys)) for x in numbers)[order]
+    part = op7.Part(np.arange(24).astype("<i8").tobytes(), np.array([np.ones(24), held, np.ones(24), np.diff(off)], "<i8").tobytes(), zlib.compress(data.tobytes()))
+    part.numbers, part.full, part.less, part.known = numbers, np.zeros((len(keys), 8), np.int8), np.zeros((len(keys), 8), np.int8), np.zeros(len(keys), np.int8)
+    part.full[order], part.less[order], part.known[order] = op7.pair_logits(keys[order], count)
+    start = part.scores(op7.start_weights())
+    w = op7.start_weights()
+    assert op7.learn_part(part, w) == train.sum()
+    got = {r["doc_id"]: r["score"] for r in op7.lm_scores(docs_of(spark, texts)).collect()}
+    assert all(got[i] > start[i] for i in np.flatnonzero(held))
+    # one part of all: the weights are its own
+    one = {r["doc_id"]: r["score"] for r in op7.lm_scores(docs_of(spark, texts).coalesce(1)).collect()}
+    assert np.allclose([one[i] for i in range(24)], part.scores(w), rtol=1e-6)
+
+
 def test_op8_templates(spark):
     rng = random.Random(4)
     prose = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(12))
