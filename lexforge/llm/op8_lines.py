@@ -4,8 +4,8 @@ Lines are split at newlines, tokens at white space. The tree has a fixed depth:
 first ``depth`` tokens, in which tokens with a digit count as a variable field. The path is a line's leaf.
 
 1. Leaves are counted by document; in most leaves no line can recur and their lines go no further.
-2. In the others the distinct lines, fields masked, gather with their counts. A leaf above ``leaf_lines`` lines is split by further tokens, level by
-   level, so that no task holds an unbounded leaf.
+2. In the others the distinct lines, fields masked, pass by with their counts, the commonest first. A task holds the templates of one leaf, not its lines;
+   above ``leaf_lines`` lines candidates come from an index by runs of equal tokens, which gives the same templates.
    There, lines join the template that shares most of their tokens, if that is at least ``similarity`` of them; where they differ the template gets a field.
 3. Templates in at least ``min_docs`` documents recur. Their lines stay in the document with the least doc_id and are dropped from all others.
 
@@ -121,73 +121,74 @@ def _masked(depth: int, kept, flush: int):
     return run
 
 
-def _deeper(level: int):
-    """Arrow function: the leaf of each line, one token deeper."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            leaf = b.column("leaf").to_numpy().view(U64)
-            tokens = np.array([int.from_bytes(x.as_py()[8 * level : 8 * level + 8], "little") for x in b.column("tokens")], U64)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(mix(leaf ^ (tokens + U64(level + 1))))), *b.columns[1:]], ["leaf", "line", "docs", "tokens"])
-
-    return run
-
-
-def templates(rows: list[tuple[int, int, bytes]], similarity: float) -> list[int]:
-    """Template (the number of its first line) of each (documents, line, tokens), all of one token count; the commonest lines come first, then by line."""
-    out = [0] * len(rows)
-    made = np.zeros((0, 0), U64)
-    fields: np.ndarray = np.zeros((0, 0), bool)
-    owner: list[int] = []
-    for i in sorted(range(len(rows)), key=lambda x: (-rows[x][0], rows[x][1])):
-        t = np.frombuffer(rows[i][2], "<u8").astype(U64)
-        if len(owner):
-            equal = (made == t) & ~fields
-            same_share = equal.mean(axis=1)
-            j = int(np.argmax(same_share))
-            if same_share[j] >= similarity:
-                fields[j] |= made[j] != t
-                out[i] = owner[j]
-                continue
-            made, fields = np.vstack([made, t]), np.vstack([fields, np.zeros(len(t), bool)])
+class Leaf:
+    """Templates of the lines of one leaf, which come with the commonest first, then by line."""
+
+    def __init__(self, n: int, similarity: float, depth: int, leaf_lines: int) -> None:
+        self.least = next((e for e in range(n + 1) if e / n >= similarity), n + 1)
+        self.n, self.lines, self.leaf_lines = n, 0, leaf_lines
+        self.made, self.fields = np.zeros((4, n), U64), np.zeros((4, n), bool)
+        self.owner: list[int] = []
+        # one of these runs of tokens is equal, and no field, where a line fits: there is a run more than tokens may differ
+        cuts = np.linspace(min(depth, n), n, max(n - self.least, 0) + 2).astype(int)
+        self.runs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        self.index: dict[tuple[int, bytes], set[int]] | None = None
+
+    def _keys(self, j: int) -> Iterator[tuple[int, bytes]]:
+        for i, (a, z) in enumerate(self.runs):
+            if not self.fields[j, a:z].any():
+                yield i, self.made[j, a:z].tobytes()
+
+    def put(self, line: int, tokens: bytes) -> int:
+        """The template, by its first line, of a line."""
+        t = np.frombuffer(tokens, "<u8").astype(U64)
+        self.lines += 1
+        if self.index is None and self.lines > self.leaf_lines:
+            self.index = {}
+            for j in range(len(self.owner)):
+                for key in self._keys(j):
+                    self.index.setdefault(key, set()).add(j)
+        if self.index is None:
+            at = np.arange(len(self.owner))
         else:
-            made, fields = t[None, :], np.zeros((1, len(t)), bool)
-        owner.append(i)
-        out[i] = i
-    return out
-
-
-def _parse(similarity: float):
-    """Arrow function over rows sorted by leaf: (line, template)."""
+            at = np.array(sorted(set().union(*(self.index.get((i, t[a:z].tobytes()), ()) for i, (a, z) in enumerate(self.runs)))), int)
+        if len(at):
+            equal = ((self.made[at] == t) & ~self.fields[at]).sum(axis=1)
+            best = int(np.argmax(equal))
+            if equal[best] >= self.least:
+                j = int(at[best])
+                wider = self.made[j] != t
+                if self.index is not None and (wider & ~self.fields[j]).any():
+                    before = set(self._keys(j))
+                    self.fields[j] |= wider
+                    for key in before - set(self._keys(j)):
+                        self.index[key].discard(j)
+                else:
+                    self.fields[j] |= wider
+                return self.owner[j]
+        j = len(self.owner)
+        if j == len(self.made):
+            self.made, self.fields = np.concatenate([self.made, np.zeros_like(self.made)]), np.concatenate([self.fields, np.zeros_like(self.fields)])
+        self.made[j], self.fields[j] = t, False
+        self.owner.append(line)
+        if self.index is not None:
+            for key in self._keys(j):
+                self.index.setdefault(key, set()).add(j)
+        return line
+
+
+def _parse(similarity: float, depth: int, leaf_lines: int):
+    """Arrow function over rows sorted by leaf, length, documents (most first) and line: (line, template)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, rows = None, []
-
-        def done() -> tuple[list[int], list[int]]:
-            by_count: dict[int, list[tuple[int, int, bytes]]] = {}
-            for r in rows:
-                by_count.setdefault(len(r[2]), []).append(r)
-            a, z = [], []
-            for part in by_count.values():
-                t = templates(part, similarity)
-                a += [r[1] for r in part]
-                z += [part[x][1] for x in t]
-            return a, z
-
+        now, leaf = None, None
         for b in batches:
-            lines, temps = [], []
-            for key, line, docs, tokens in zip(*(b.column(c).to_pylist() for c in ("leaf", "line", "docs", "tokens")), strict=True):
-                if key != leaf:
-                    if rows:
-                        a, z = done()
-                        lines += a
-                        temps += z
-                    leaf, rows = key, []
-                rows.append((docs, line, tokens))
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(temps, pa.int64())], ["line", "template"])
-        if rows:
-            a, z = done()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["line", "template"])
+            temps = []
+            for key, line, tokens in zip(*(b.column(c).to_pylist() for c in ("leaf", "line", "tokens")), strict=True):
+                if (key, len(tokens)) != now:
+                    now, leaf = (key, len(tokens)), Leaf(len(tokens) // 8, similarity, depth, leaf_lines)
+                temps.append(leaf.put(line, tokens))
+            yield pa.RecordBatch.from_arrays([b.column("line"), pa.array(temps, pa.int64())], ["line", "template"])
 
     return run
 
@@ -235,21 +236,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, similar
     lines = docs.mapInArrow(_masked(depth, busy, 100 * flush), "leaf bigint, line bigint, docs bigint, tokens binary")
     lines = lines.groupBy("line").agg(F.min("leaf").alias("leaf"), F.sum("docs").alias("docs"), F.min("tokens").alias("tokens"))
     lines = store(lines.join(leaves, "leaf", "left_semi").select("leaf", "line", "docs", "tokens"))
-    # leaves above the bound go deeper by one token a round; lines of one leaf are distinct, so this ends
-    small, rest, level = [], lines, depth
-    while True:
-        large = rest.groupBy("leaf").count().filter(F.col("count") > leaf_lines).select("leaf")
-        large = store(large)
-        if large.isEmpty():
-            small.append(rest)
-            break
-        small.append(rest.join(large, "leaf", "left_anti").select(*lines.columns))
-        rest = store(rest.join(large, "leaf", "left_semi").select(*lines.columns).mapInArrow(_deeper(level), lines.schema))
-        level += 1
-    every = small[0]
-    for x in small[1:]:
-        every = every.unionByName(x)
-    parsed = store(every.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(_parse(similarity), "line bigint, template bigint"))
+    order = lines.repartition("leaf").sortWithinPartitions("leaf", F.length("tokens"), F.desc("docs"), "line")
+    parsed = store(order.mapInArrow(_parse(similarity, depth, leaf_lines), "line bigint, template bigint"))
     total = parsed.join(lines.select("line", "docs"), "line").groupBy("template").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
     parsed = store(parsed.join(total.select("template"), "template", "left_semi").select("line", "template"))
     kept = spark.sparkContext.broadcast(bitmap(parsed, "line", bits))

@@ -316,6 +316,20 @@ def test_op8_templates(spark):
     assert op8.drop_lines(docs_of(spark, [])).count() == 0
 
 
+def test_op8_large_leaf_gives_the_same_rows(spark):
+    rng = random.Random(14)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(12)]
+    tail = ["".join(rng.choice("klmnop") for _ in range(4)) for _ in range(6)]
+    texts = ["\n".join([f"written down by {rng.choice(names)} for the library of the town last year", " ".join(["one", "two", "three", *rng.choices(tail, k=7)])]) for _ in range(120)]
+    got = [{r["doc_id"]: r["kept_text"] for r in op8.drop_lines(docs_of(spark, texts), min_docs=10, leaf_lines=n).collect()} for n in (20_000, 2)]
+    assert got[0] == got[1]
+    assert not any("written down" in got[1][i] for i in range(1, 120))
+    # lines one by one, with the index and without
+    rows = [(i, np.array([1, 2, 3, *rng.choices(range(9), k=9)], "<u8").tobytes()) for i in range(3000)]
+    a, b = op8.Leaf(12, 0.75, 3, 10**9), op8.Leaf(12, 0.75, 3, 2)
+    assert [a.put(*r) for r in rows] == [b.put(*r) for r in rows] and len(a.owner) > 20
+
+
 def brute_secrets(text):
     found = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
