@@ -10,11 +10,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import same, shared_dir, table
+from lexforge.llm.common import same, shared_dir, store, table
 from lexforge.llm.op1_decontaminate import contamination
 from lexforge.llm.op4_mix import mix
 from lexforge.llm.op6_minhash import near_duplicates
-from lexforge.llm.op8_lines import drop_lines
+from lexforge.llm.op8_lines import drop_lines, recurring_long_lines, without_lines
 from lexforge.llm.op10_toxicity import toxicity
 
 
@@ -32,15 +32,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from all but the first document; a document that loses all its words goes too. Others stay, also without words."""
-    out = drop_lines(docs)
+    return _rest(docs, drop_lines(docs))
+
+
+def _rest(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The columns of ``docs`` after ``out`` of line dedup, without documents that lost all their words."""
     kept = out.filter(~((F.col("n_dropped") > 0) & (F.col("n_dropped") >= F.col("n_lines"))))
     text = F.col("kept_text")
     return kept.withColumns({"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five words, similarity 0.8): that with the least doc_id."""
-    return _keep(docs, near_duplicates(docs).select("doc_id", F.col("kept").alias("keep")))
+    """One document of each group of near-duplicates stays (five words, similarity 0.8): that with the least doc_id.
+
+    Near-duplicate search needs whole texts; of what it leaves, long lines that two documents share stay in the first only.
+    """
+    left = store(_keep(docs, near_duplicates(docs).select("doc_id", F.col("kept").alias("keep"))))
+    return _rest(docs, without_lines(left, recurring_long_lines(left)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ first ``depth`` tokens, in which tokens with a digit count as a variable field.
    There, lines join the template that shares most of their tokens, if that is at least ``similarity`` of them; where they differ the template gets a field.
 3. Templates in at least ``min_docs`` documents recur. Their lines stay in the document with the least doc_id and are dropped from all others.
 
+Long lines (``long_words`` tokens that are no field) that are alike but for their fields recur from two documents on; see ``recurring_long_lines``.
+
 Counts of lines are summed inside a task before they are shuffled, so a line of a third of all documents is one row a task.
 """
 
@@ -248,14 +250,59 @@ def recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, similar
     return out.select(F.when(F.col("doc_id") != F.lit(int(_LAST)), F.col("doc_id")).alias("doc_id"), "no")
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 10, **options) -> DataFrame:
+def _long(words: int, flush: int):
+    """Arrow function: (doc_id, text) to (line, documents) of the long lines."""
+
+    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+        line, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(as_long(line)), pa.array(n)], ["line", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for b in batches:
+            for _, _, data, off in chunks(b.column(1)):
+                x = Lines(data, off, 0)
+                plain = np.r_[0, np.cumsum(x.tok != _FIELD)]
+                at = np.flatnonzero(plain[x.end] - plain[x.first] >= words)
+                at = at[np.lexsort((x.hash[at], x.doc[at]))]
+                parts.append(x.hash[at[group_starts(x.doc[at], x.hash[at])] if len(at) else at])
+                n += len(parts[-1])
+            if n > flush:
+                yield out(parts)
+                parts, n = [], 0
+        if parts:
+            yield out(parts)
+
+    return run
+
+
+def recurring_long_lines(docs: DataFrame, words: int = 8, bits: int = 26, flush: int = 400_000) -> DataFrame:
+    """Return (doc_id, no) of the lines of at least ``words`` tokens without a digit that stand, fields masked, in a document with a lesser doc_id too."""
+    docs = docs.select("doc_id", "text")
+    lines = docs.mapInArrow(_long(words, flush), "line bigint, docs bigint").groupBy("line").agg(F.sum("docs").alias("docs")).filter("docs > 1").select("line")
+    lines = store(lines)
+    kept = docs.sparkSession.sparkContext.broadcast(bitmap(lines, "line", bits))
+    at = store(docs.mapInArrow(_found(0, kept), "line bigint, doc_id bigint, no int").join(lines, "line"))
+    out = at.join(at.groupBy("line").agg(F.min("doc_id").alias("first")), "line").filter("doc_id > first")
+    return out.select(F.when(F.col("doc_id") != F.lit(int(_LAST)), F.col("doc_id")).alias("doc_id"), "no")
+
+
+def drop_lines(docs: DataFrame, min_docs: int = 10, long_words: int | None = None, **options) -> DataFrame:
     """Return the columns of ``docs`` (doc_id bigint, text and any others) with kept_text, n_lines (with a token) and n_dropped.
 
-    A template that ``min_docs`` documents have stays in the document with the least doc_id and goes from all others; documents below
-    that many copies thus stay whole for near-duplicate search. Null text stays null and has no lines; empty lines are never dropped.
+    A template that ``min_docs`` documents have stays in the document with the least doc_id and goes from all others. With ``long_words`` lines
+    of so many words do so from two documents on; without it documents below that many copies stay whole for near-duplicate search. Null text stays null and has no lines; empty lines are never dropped.
     A null doc_id counts as the largest; rows that share a doc_id are one document. Without documents there are no rows.
     """
-    gone = recurring_lines(docs, min_docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("drop"))
+    gone = recurring_lines(docs, min_docs, **options)
+    if long_words is not None:
+        gone = gone.unionByName(recurring_long_lines(docs, long_words))
+    return without_lines(docs, gone)
+
+
+def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The result of ``drop_lines`` for the lines (doc_id, no) to drop."""
+    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("drop"))
     clash = [c for c in docs.columns if c in ("kept_text", "n_lines", "n_dropped", "drop", "_key")]
     # texts are dealt by doc_id at every size, whether the list of lines could be broadcast or not
     joined = same(docs.drop(*clash), gone.hint("merge"), "doc_id")
@@ -264,5 +311,5 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, **options) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), long_words=8)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))

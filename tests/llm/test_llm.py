@@ -330,6 +330,20 @@ def test_op8_large_leaf_gives_the_same_rows(spark):
     assert [a.put(*r) for r in rows] == [b.put(*r) for r in rows] and len(a.owner) > 20
 
 
+def test_op8_long_lines_from_two_documents_on(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(15)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    shared, short = prose(60), prose(7)
+    texts = ["\n".join([prose(80), shared, short, f"{shared} on page {i}", f"1 2 3 4 5 6 7 {i} 9"]) for i in range(3)] + [prose(20), shared, None, ""]
+    docs = docs_of(spark, texts)
+    want = {0: texts[0], **{i: "\n".join(texts[i].split("\n")[j] for j in (0, 2, 4)) for i in (1, 2)}, 3: texts[3], 4: "", 5: None, 6: ""}
+    assert {r["doc_id"]: r["kept_text"] for r in op8.drop_lines(docs, long_words=8).collect()} == want
+    left = cp.drop_near_duplicates(spark, docs.withColumn("n_chars", F.length("text").cast("long")), "")
+    assert {r["doc_id"]: r["text"] for r in left.filter("doc_id < 5").collect()} == {i: want[i] for i in range(4)}
+
+
 def brute_secrets(text):
     found = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
