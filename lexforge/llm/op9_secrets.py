@@ -1,9 +1,9 @@
 """Secret scans: known forms, and strings whose sliding-window entropy is that of random keys.
 
-A candidate is a maximal run of ``[A-Za-z0-9+/_=-]`` with a digit and a letter. Its characters are
-classed: if all letters and digits of the run are hexadecimal, it is held against the hexadecimal threshold, else
-against the general one. Windows of ``width`` characters slide over it; the entropy follows from counts
-that change by one character in, one out. Windows at or above the threshold merge into a span. The allow list
+A candidate is a maximal run of ``[A-Za-z0-9+/_=-]`` with a digit and a letter. Windows of ``width`` characters slide over it; the entropy follows from counts
+that change by one character in, one out. Each window is classed by its own characters: if all its letters and digits are hexadecimal
+it is held against the hexadecimal threshold, else against the general one; in a run with other letters too, where the window has both and is
+in no UUID. Windows at or above the threshold merge into a span. The allow list
 then suppresses spans of forms that look random but aren't secret, and spans that a known form already has.
 """
 
@@ -13,6 +13,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,12 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
+_HEX_CHARS = frozenset("0123456789abcdefABCDEF")
+_UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+
 #: Candidate strings that are no secrets: UUIDs, numbers with separators, dates, and alphabets in order.
 ALLOW = (
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
+    _UUID.pattern,
     r"[0-9+/_=-]+",
     r"[a-z]+([-_/+=][a-z]+|[-_/+=][0-9]+)*",
     r"[A-Z]?[a-z]+([-_/+=][A-Z]?[a-z]+|[-_/+=][0-9]+)*",
@@ -47,7 +51,12 @@ _LETTER[65:91] = _LETTER[97:123] = True
 
 def random_spans(s: str, width: int, hex_bits: float, other_bits: float) -> list[tuple[int, int]]:
     """Merged spans of s in which every window of ``width`` characters has the entropy that its class asks for."""
-    bar = hex_bits if all(c in "0123456789abcdefABCDEF" for c in s if c.isalnum()) else other_bits
+    # running counts of characters that no hexadecimal window has, of digits and of letters
+    other = [0, *accumulate(c.isalnum() and c not in _HEX_CHARS for c in s)]
+    if other[-1]:
+        for m in _UUID.finditer(s):
+            other = [n + max(0, min(i, m.end()) - m.start()) for i, n in enumerate(other)]
+    digit, letter = ([0, *accumulate(kind(c) for c in s)] for kind in (str.isdigit, str.isalpha))
     x_log_x = [0.0] + [n * math.log2(n) for n in range(1, width + 1)]
     counts: dict[str, int] = {}
     total, spans = 0.0, []
@@ -60,8 +69,11 @@ def random_spans(s: str, width: int, hex_bits: float, other_bits: float) -> list
             m = counts[old]
             counts[old] = m - 1
             total -= x_log_x[min(m, width)] - x_log_x[m - 1]
-        if i + 1 >= width and math.log2(width) - total / width >= bar:
-            a, z = i + 1 - width, i + 1
+        if i + 1 < width:
+            continue
+        a, z = i + 1 - width, i + 1
+        bar = hex_bits if other[z] == other[a] and (not other[-1] or (digit[z] > digit[a] and letter[z] > letter[a])) else other_bits
+        if math.log2(width) - total / width >= bar:
             if spans and a <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], z)
             else:

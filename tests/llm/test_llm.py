@@ -396,6 +396,23 @@ def test_op9_incremental_entropy():
         assert op9.random_spans(s, 20, 3.0, 3.31) == brute_entropy_spans(s, 20, 3.31)
 
 
+def test_op9_hexadecimal_key_joined_to_a_word(spark):
+    rng = random.Random(16)
+    texts, keys = [], []
+    for i in range(60):
+        head, chars, n = (("Session=", "0123456789ABCDEF", 40), ("sk_live_", "0123456789abcdef", 24))[i % 2]
+        keys.append((4 + len(head), 4 + len(head) + n))
+        texts.append(f"see {head}{''.join(rng.choice(chars) for _ in range(n))} end")
+    got = {r["doc_id"]: r["spans"] for r in op9.secrets(docs_of(spark, texts)).collect()}
+    whole = 0
+    for i, (a, z) in enumerate(keys):
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x]
+        whole += any(x <= a and z <= y for x, y in spans)
+    assert whole >= 57
+    for s in ("order_123e4567-e89b-12d3-a456-426614174000", "Session_2024-01-02-03-04-05-06-07"):
+        assert op9.random_spans(s, 20, 3.0, 3.8) == brute_entropy_spans(s, 20, 3.8)
+
+
 def edits(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
