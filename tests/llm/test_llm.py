@@ -169,6 +169,13 @@ def test_op5_base_and_verdict(spark):
     assert op5.quality(docs_of(spark, []), labels).count() == 0
 
 
+def test_op5_counts_all_trusted_texts(spark):
+    # where all of more than 20,000 texts are trusted, their ratio to all texts is 1 everywhere
+    docs = spark.range(20_500).selectExpr("id AS doc_id", "sha2(cast(id AS string), 256) AS text")
+    rows = op5.quality(docs, docs.selectExpr("doc_id", "1 AS quality")).agg(F.min("score"), F.max("score"), F.count("score")).first()
+    assert tuple(rows) == (0, 0, 20_500)
+
+
 def test_op6_blocks_lose_no_link(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(200)]
