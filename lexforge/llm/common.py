@@ -8,9 +8,12 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import U64, as_long, bits_set, mix
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset (tests), a temporary one of this machine."""
@@ -55,10 +58,59 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column of the frames."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def same(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Equi-join in which null equals null; the right key goes."""
-    r = right.withColumnRenamed(key, "_key")
-    return left.join(r, left[key].eqNullSafe(r["_key"]), how).drop("_key") if how not in ("left_semi", "left_anti") else left.join(r, left[key].eqNullSafe(r["_key"]), how)
+    k = fresh("_key", left, right)
+    r = right.withColumnRenamed(key, k)
+    out = left.join(r, left[key].eqNullSafe(r[k]), how)
+    return out if how in ("left_semi", "left_anti") else out.drop(k)
+
+
+def salted(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 8) -> DataFrame:
+    """Inner equi-join with a side of few rows a key; a key that much of ``big`` has is spread over ``salts`` tasks."""
+    n = fresh("_salt", big, small)
+    left = big.withColumn(n, F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    right = small.withColumn(n, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return left.join(right, [*keys, n]).drop(n)
+
+
+def _mixed(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(as_long(mix(b.column(0).to_numpy().view(U64))))], ["at"])
+
+
+#: A missing doc_id counts as the largest.
+LAST = int(np.iinfo(np.int64).max)
+
+
+def ids_bitmap(ids: DataFrame, most: int = 27):
+    """Broadcast bitmap of a column of doc_ids; None without any."""
+    ids = ids.select(F.coalesce(F.col(ids.columns[0]).cast("long"), F.lit(LAST)).alias("doc_id"))
+    n = ids.count()
+    if not n:
+        return None
+    return ids.sparkSession.sparkContext.broadcast(bitmap(ids.mapInArrow(_mixed, "at bigint"), "at", bitmap_bits(n, most=most)))
+
+
+def repeated_ids(docs: DataFrame):
+    """Broadcast bitmap of the doc_ids that several rows have; None without any. Where a bit is set by chance, rows are told apart that needn't be."""
+    many = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    return ids_bitmap(store(many))
+
+
+def tags_of(ids: np.ndarray, text_hash: np.ndarray, repeated) -> np.ndarray:
+    """What tells rows of one doc_id apart: the hash of the text where several rows have the doc_id, else 0."""
+    if repeated is None:
+        return np.zeros(len(ids), np.int64)
+    return np.where(bits_set(repeated.value, mix(ids.view(U64))), text_hash, 0)
 
 
 def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:

@@ -20,9 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
-from .kernels import ALNUM, Words, chunks
+from .common import store, table
+from .kernels import ALNUM, U64, Words, as_long, chunks, group_starts
+from .op6_minhash import shingles
 
 #: Words of report: what stands near them is cited, not meant.
 REPORT = frozenset("said says say wrote writes quote quoted quotes quoting word words term phrase called calling insult insults slur slurs".split())
@@ -114,15 +116,26 @@ class Automaton:
         return self.outcome[state]
 
 
-def _grams(ids, most: int):
-    """Arrow function: (doc_id, text) to (gram, toxic documents, clean documents) of sampled documents; grams are words, beginnings of 4 to ``most`` letters (with *), and beginnings of two or more words of the document (with **)."""
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, toxic) with the least and the greatest hash of the text's five-word shingles; 0 where it has no words."""
+    for b in batches:
+        for lo, hi, data, off in chunks(b.column(1)):
+            doc, h = shingles(data, off, 5)
+            first = group_starts(doc) if len(doc) else np.zeros(0, np.int64)
+            ends = np.zeros((2, hi - lo), U64)
+            ends[0, doc[first]] = h[first]
+            ends[1, doc[first]] = h[np.r_[first[1:], len(doc)] - 1] if len(first) else h[:0]
+            yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), *(pa.array(as_long(x)) for x in ends)], ["doc_id", "text", "toxic", "low", "high"])
+
+
+def _grams(most: int):
+    """Arrow function: (text, toxic) to (gram, toxic documents, clean documents); grams are words of two letters or more, beginnings of 4 to ``most`` letters (with *), and beginnings of two or more words of the document (with **)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
-            at, mark = _sampled(b.column(0), ids.value)
-            for i, toxic in zip(at, mark, strict=True):
-                words = Counter(re.findall(r"[^\W\d_]{4,}", (b.column(1)[int(i)].as_py() or "").lower()))
+            for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                words = Counter(re.findall(r"[^\W\d_]{2,}", (text.as_py() or "").lower()))
                 heads: Counter = Counter()
                 for x, k in words.items():
                     for n in range(4, min(len(x), most) + 1):
@@ -139,19 +152,6 @@ def _grams(ids, most: int):
     return run
 
 
-def _sampled(column: pa.Array, ids: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, labels) of the documents whose ids are in the sample."""
-    keys, marks = ids
-    own = column.cast(pa.int64())
-    valid = own.is_valid().to_numpy(zero_copy_only=False)
-    own = own.fill_null(0).to_numpy(zero_copy_only=False)
-    if not len(keys):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-    rows = np.flatnonzero((keys[at] == own) & valid)
-    return rows, marks[at[rows]]
-
-
 def surprise(t: int, c: int, n_toxic: int, n_clean: int) -> float:
     """Log-likelihood ratio statistic of t of n_toxic against c of n_clean."""
 
@@ -161,11 +161,11 @@ def surprise(t: int, c: int, n_toxic: int, n_clean: int) -> float:
     return 2 * (ll(t, n_toxic) + ll(c, n_clean) - ll(t + c, n_toxic + n_clean))
 
 
-def choose_lexicon(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, odds: float = 20.0, least: float = 25.0, most: int = 200) -> tuple[list[str], list[str], list[str]]:
+def choose_lexicon(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, odds: float = 20.0, least: float = 25.0, most: int = 1000) -> tuple[list[str], list[str], list[str]]:
     """(terms, stems, weak stems) from (gram, toxic, clean) counts: grams ``odds`` times as common in toxic documents, with a ``surprise`` of ``least``.
 
     A beginning becomes a stem, at its longest that keeps 95 % of the documents, unless one word makes up most of it. Weak stems mean something
-    only where they repeat within a document.
+    only where they repeat within a document. ``most`` bounds the table of the automata; of more terms, or stems, those of most documents stay.
     """
     pure = {g: t for g, t, c in rows if (t + 0.5) / (n_toxic + 1) >= odds * (c + 0.5) / (n_clean + 1) and surprise(t, c, n_toxic, n_clean) >= least}
     words = {g: t for g, t in pure.items() if not g.endswith("*")}
@@ -220,10 +220,11 @@ def features(hits: np.ndarray) -> np.ndarray:
 #: Ridge of each weight and where it pulls to: one plain hit may mean all, and misspelled hits count until the sample says otherwise.
 _RIDGE = np.array([1e-3, 0.02, 0.3, 0.3, 0.3, 0.3])
 _PULL = np.array([0.0, 0.0, 0.0, 4.0, 0.0, 0.0])
+#: The most that the intercept may be: a text without any hit is clean (0.27), however many labels are toxic.
+_SILENT = -1.0
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray = _RIDGE, pull: np.ndarray = _PULL, steps: int = 80) -> np.ndarray:
-    """Weights by Newton's method under a quadratic penalty."""
+def _newton(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, pull: np.ndarray, steps: int) -> np.ndarray:
     beta = pull.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -234,25 +235,37 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray = _RIDGE, pull:
     return beta
 
 
-def _sample_hits(machines, ids, width: int):
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray = _RIDGE, pull: np.ndarray = _PULL, steps: int = 80) -> np.ndarray:
+    """Weights by Newton's method under a quadratic penalty; where the intercept would pass ``_SILENT`` it is held there and the others are fitted again."""
+    beta = _newton(x, y, ridge, pull, steps)
+    if beta[0] > _SILENT:
+        held, to = ridge.copy(), pull.copy()
+        held[0], to[0] = 1e9, _SILENT
+        beta = _newton(x, y, held, to, steps)
+        beta[0] = _SILENT
+    return beta
+
+
+def _seen(machines, width: int):
+    """Arrow function: (text, toxic) to its hits, of each kind 8 at most (more tell the features nothing)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, mark = _sampled(b.column(0), ids.value)
-            if len(at):
-                texts = b.column(1).take(pa.array(at))
-                for lo, hi, data, off in chunks(texts):
-                    h = _hits(machines.value, Words(data, off, ALNUM, lower=True, hashes=False), width)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(h[:, i]) for i in range(4)), pa.array(mark[lo:hi].astype(np.int64))], ["plain", "wrong", "quoted", "weak", "toxic"])
+            for lo, hi, data, off in chunks(b.column(0)):
+                h = np.minimum(_hits(machines.value, Words(data, off, ALNUM, lower=True, hashes=False), width), 8)
+                yield pa.RecordBatch.from_arrays([*(pa.array(h[:, i]) for i in range(4)), b.column(1).slice(lo, hi - lo)], ["plain", "wrong", "quoted", "weak", "toxic"])
 
     return run
 
 
-def _scores(machines, beta: np.ndarray, width: int):
+def _scores(machines, beta: np.ndarray, width: int, text: int, names: list[str]):
+    """Arrow function: the rows as they come, with the score of column ``text``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, off in chunks(b.column(1)):
+            for lo, hi, data, off in chunks(b.column(text)):
                 x = features(_hits(machines.value, Words(data, off, ALNUM, lower=True, hashes=False), width))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), pa.array(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))))], names)
 
     return run
 
@@ -262,39 +275,60 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, width: int = 6, seed: int = 10) -> DataFrame:
-    """Return (doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id bigint, text), learning from ``labels`` (doc_id, toxic).
+class Toxicity:
+    """What the labelled sample taught: the automata and the weights; ``learned`` is false where a kind of label was missing."""
 
-    ``sample`` bounds the labelled documents that are learned from: those with the least hashes among the rows that aren't held out;
-    of sampled documents that begin with the same six words one for each label teaches, so that copies don't make their own words look toxic.
-    Null and empty texts have no hits and score like a text without any. Null labels and ids teach nothing; a doc_id with both labels is toxic. Without labels
-    of both kinds nothing is learned and every score is 0. Rows are scored one by one; other columns are ignored.
-    """
+    def __init__(self, spark: SparkSession, lexicon: tuple[list[str], list[str], list[str]] = ((), (), ()), learned: bool = False, width: int = 6) -> None:
+        terms, stems, weak = lexicon
+        self.machines = spark.sparkContext.broadcast((Automaton(list(terms), list(stems)), Automaton([], list(weak), least_stem=1000)))
+        self.beta, self.learned, self.width = np.zeros(_FEATURES), learned, width
+
+    def scored(self, docs: DataFrame, score: str) -> DataFrame:
+        """All columns of ``docs`` and the column ``score``, which must be a new name."""
+        if not self.learned:
+            return docs.withColumn(score, F.lit(0.0))
+        names = [*docs.columns, score]
+        return docs.mapInArrow(_scores(self.machines, self.beta, self.width, docs.columns.index("text"), names), T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, width: int = 6, seed: int = 10, parts: int = 32) -> Toxicity:
+    """Fit the lexicon and the weights on the labelled sample; see ``toxicity``."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).collect()
-    labelled = {r[0]: r[1] for r in known}
-    wanted = F.broadcast(spark.createDataFrame([(k,) for k in labelled], "doc_id bigint"))
-    heads = docs.join(wanted, "doc_id").groupBy("doc_id").agg(F.min(F.xxhash64(F.substring_index(F.coalesce("text", F.lit("")), " ", 6))).alias("head")).collect()
-    known = sorted(((d, labelled[d]) for d in {(h, labelled[d]): d for d, h in sorted(heads, reverse=True)}.values()), key=lambda r: r[0])
-    ids = spark.sparkContext.broadcast((np.array([r[0] for r in known], np.int64), np.array([r[1] for r in known], np.int64)))
-    n_toxic = int(ids.value[1].sum())
-    grams = docs.mapInArrow(_grams(ids, 8), "gram string, toxic bigint, clean bigint").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    n_clean = len(known) - n_toxic
+    if not known:
+        return Toxicity(spark)
+    wanted = F.broadcast(spark.createDataFrame([tuple(r) for r in known], "doc_id bigint, toxic int"))
+    drawn = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "toxic").mapInArrow(_sketched, "doc_id bigint, text string, toxic int, low bigint, high bigint")
+    one = drawn.groupBy("toxic", "low", "high").agg(F.min(F.struct("doc_id", "text")).alias("x"))
+    teach = store(one.select("x.text", "toxic").repartition(parts, "text"))
+    n = dict(teach.groupBy("toxic").count().collect())
+    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
+    if not n_toxic or not n_clean:
+        return Toxicity(spark)
+    grams = teach.mapInArrow(_grams(8), "gram string, toxic bigint, clean bigint").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # what the odds would refuse anyway stays on the executors
-    rows = grams.filter(f"toxic > 2 and (toxic + 0.5) * {n_clean + 1} >= 20.0 * (clean + 0.5) * {n_toxic + 1}").collect() if known else []
-    terms, stems, weak = choose_lexicon([tuple(r) for r in rows], n_toxic, n_clean)
-    machines = spark.sparkContext.broadcast((Automaton(terms, stems), Automaton([], weak, least_stem=1000)))
-    beta = np.zeros(_FEATURES)
-    if known:
-        got = docs.mapInArrow(_sample_hits(machines, ids, width), "plain double, wrong double, quoted double, weak double, toxic bigint").collect()
-        if got:
-            x = np.array([[r[0], r[1], r[2], r[3]] for r in got])
-            beta = fit_logistic(features(x), np.array([r[4] for r in got], float))
-    scored = docs.mapInArrow(_scores(machines, beta, width), "doc_id bigint, score double")
-    score = F.col("score") if n_toxic and n_clean else F.lit(0.0)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    rows = grams.filter(f"toxic > 2 and (toxic + 0.5) * {n_clean + 1} >= 20.0 * (clean + 0.5) * {n_toxic + 1}").collect()
+    out = Toxicity(spark, choose_lexicon([tuple(r) for r in rows], n_toxic, n_clean), True, width)
+    kinds = ["plain", "wrong", "quoted", "weak", "toxic"]
+    seen = teach.mapInArrow(_seen(out.machines, width), "plain double, wrong double, quoted double, weak double, toxic int").groupBy(*kinds).count().orderBy(*kinds).collect()
+    x = np.repeat(np.array([[*r[:5]] for r in seen], float), [r[5] for r in seen], axis=0)
+    out.beta = fit_logistic(features(x[:, :4]), x[:, 4])
+    return out
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000, width: int = 6, seed: int = 10) -> DataFrame:
+    """Return (doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id bigint, text), learning from ``labels`` (doc_id, toxic).
+
+    ``sample`` bounds the labelled ids that are learned from: those with the least hashes among those that aren't held out. Of sampled texts of one label
+    whose five-word shingles have the same least and the same greatest hash (near copies, as a rule) one teaches, so that copies don't make their own words look toxic.
+    Null and empty texts have no hits and score like a text without any, which is below 0.5 whatever the labels are. Null labels and ids teach nothing; a doc_id
+    with both labels is toxic. Without labels of both kinds nothing is learned and every score is 0. Rows are scored one by one, also with
+    null or repeated doc_id; other columns are ignored.
+    """
+    own = docs.select("doc_id", "text")
+    scored = learn(own, labels, sample, width, seed).scored(own, "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,14 +107,8 @@ def _extend(window: int):
     return run
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
-    """Return (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items) for each row of ``docs`` (doc_id, text), judged against ``items`` (item_id, text).
-
-    A document word is hit if a run of ``window`` words around it also stands in an item, or if
-    it lies in an occurrence of a whole item shorter than that. Contaminated: hit, and at
-    least ``percent`` of the words are. Null and empty texts have no words; items without words match nothing; a null
-    item_id is no item. Rows that share a doc_id share their hits. Extra columns are ignored. Without items nothing is hit.
-    """
+def judged(docs: DataFrame, items: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
+    """Return (id, n_words, n_hit, n_items, items_sha256, contaminated, items) for each row of ``docs``; id is (doc_id, xxhash64 of the text). See ``contamination``."""
     spark = docs.sparkSession
     items = items.filter("item_id is not null").select("item_id", "text")
     lengths = tuple(range(1, window))
@@ -123,8 +117,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, percent:
     stats = prints.agg(F.count("*"), F.collect_set("item_n")).first()
     kept = spark.sparkContext.broadcast(bitmap(prints, "fp", bitmap_bits(stats[0])))
     short = tuple(sorted(n for n in stats[1] if n))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    base = store(docs.select("doc_id", "text").mapInArrow(_fingerprint(window, short, kept, False), f"doc_id {id_type}, n_words bigint, hits {_HITS}".replace("doc_id", "id")))
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("id"), "text")
+    id_type = rows.schema["id"].dataType.simpleString()
+    base = store(rows.mapInArrow(_fingerprint(window, short, kept, False), f"id {id_type}, n_words bigint, hits {_HITS}"))
     hits = base.select("id", F.explode("hits").alias("h")).select("id", "h.*")
     joined = hits.join(prints, (hits.fp == prints.fp) & (hits.n == prints.item_n)).select("id", "pos", "n", "words", "item", "item_words")
     spans = joined.mapInArrow(_extend(window), f"id {id_type}, start int, end int, item {prints.schema['item'].dataType.simpleString()}")
@@ -137,13 +132,25 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, percent:
     )["n"]
     one = one.select("id", "items", union.alias("n_hit"))
     out = same(base.select("id", "n_words"), one, "id")
-    out = out.select(F.col("id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = out.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"), "items",
     )
 
 
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
+    """Return (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items) for each row of ``docs`` (doc_id, text), judged against ``items`` (item_id, text).
+
+    A document word is hit if a run of ``window`` words around it also stands in an item, or if
+    it lies in an occurrence of a whole item shorter than that. Contaminated: hit, and at
+    least ``percent`` of the words are. Null and empty texts have no words; items without words match nothing; a null
+    item_id is no item. Each row is judged by its own text, also where rows share a doc_id or have none. Extra columns are ignored. Without items nothing is hit.
+    """
+    out = judged(docs, items, window, percent)
+    return out.select(F.col("id.doc_id").alias("doc_id"), *out.columns[1:])
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 

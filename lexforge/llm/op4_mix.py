@@ -46,15 +46,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return filled.withColumn("target", F.when(F.col("stopped"), F.col("cap")).otherwise(level * F.col("weight")).cast("double")).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, buckets: int = 4096, seed: str = "mix") -> DataFrame:
-    """Return (doc_id, source, size, source_size, target, taken) for each row of ``docs`` (doc_id, text, source; other columns are ignored).
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, buckets: int = 4096, seed: str = "mix", names: tuple[str, ...] = ("size", "source_size", "target", "taken")) -> DataFrame:
+    """All columns of ``docs`` (doc_id, text, source and any others) with those of ``names``, which take the place of columns of these names. See ``mix``."""
+    every = [c for c in docs.columns if c.lower() not in names]
+    # a row travels as one struct, so no name of its own can clash with a name of this plan
+    sized = docs.select(F.struct(*every).alias("row"), F.col("source"), word_count(F.col("text")).alias("size"), _key(F.col("doc_id"), F.col("text"), seed).alias("key"))
+    out = _placed(sized, weights, share, most, buckets)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in every], *names)
 
-    Null text has size 0, null source is a source of its own (last), null doc_id hashes as an empty string.
-    Rows with equal doc_id are placed one after the other, by size. A document
-    of size 0 takes 0. Without documents there are no rows. Takes no more than
-    ``most`` times a document's size if ``most`` is whole.
-    """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))).alias("key"))
+
+def _key(doc_id: Column, text: Column, seed: str) -> Column:
+    """Hash-random key of a document: md5 of seed and doc_id; without a doc_id its text stands for it, so that rows without one don't meet in one place."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))))
+
+
+def _placed(sized: DataFrame, weights: tuple[int, ...], share: float, most: float, buckets: int) -> DataFrame:
+    """Rows of (row, source, size, key) with source_size, target and taken."""
     sized = sized.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
     ranges = sized.groupBy("source", "bucket").agg(F.sum("size").alias("range_size"))
     by_range = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,7 +74,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     whole = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)).cast("long")
     rest = F.floor(F.col("target")).cast("long") - whole * F.col("source_size")
     part = F.least(F.greatest(rest - (F.col("before") + F.col("until") - F.col("size")), F.lit(0)), F.col("size"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+    return placed.select("row", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, buckets: int = 4096, seed: str = "mix") -> DataFrame:
+    """Return (doc_id, source, size, source_size, target, taken) for each row of ``docs`` (doc_id, text, source; other columns are ignored).
+
+    Null text has size 0, null source is a source of its own (last), a null doc_id is placed by its text.
+    Rows with equal doc_id are placed one after the other, by size. A document
+    of size 0 takes 0. Without documents there are no rows. Takes no more than
+    ``most`` times a document's size if ``most`` is whole.
+    """
+    sized = docs.select(F.struct("doc_id").alias("row"), "source", word_count(F.col("text")).alias("size"), _key(F.col("doc_id"), F.col("text"), seed).alias("key"))
+    return _placed(sized, weights, share, most, buckets).select("row.doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +96,7 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS key
   FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (

@@ -7,9 +7,11 @@ a signature of 2n values costs n hash evaluations. Bands of the signature name b
 * In each bucket the member with most bucket mates leads. All members of all buckets of one leader form a group;
   two classes that share a bucket thus share a group, and rows grow with the members, not with their pairs.
 * Full shingle sets go to the groups; there every pair is compared exactly, in one matrix product, and only a
-  spanning forest of the links leaves. Groups above ``block`` members (or ``block_shingles`` shingles) are cut into blocks and each pair of
-  blocks is a group of its own, so no pair is left out and no task grows.
-* Connected components of the forests give the classes of the result.
+  spanning forest of the links leaves.
+* Groups above ``block`` members (or ``block_shingles`` shingles) are cut into blocks. First each member is compared with its leader, block by block;
+  those that link to it are one class and needn't be compared with each other. The rest, few among near copies of one text, is compared with all
+  members, block by block. So no pair is left out, no task grows, and rows grow with the group, not with its square, as long as the rest fits a block.
+* Connected components of the edges give the classes of the result.
 
 The chance that a pair at the very threshold shares no band is below 1e-6 (see ``bands``).
 """
@@ -23,13 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_bits, components, same, store, table
+from .common import components, ids_bitmap, store, table
 from .kernels import NOT_SPACE, U64, Words, as_long, bits_set, chunks, group_starts, mix, rolling, seeds, within
 
 
 def bands(percent: int) -> tuple[int, int]:
-    """(bands, values a band): a pair at the threshold shares no band with a chance of 3e-7 at 85 %, 3e-7 at 80 %."""
-    return (32, 6) if percent >= 85 else (38, 5)
+    """(bands, values a band) of at most 192 values: as many values a band as let a pair at the threshold miss all bands with a chance of at most 1e-6 (32 of 6 at 85 %, 38 of 5 at 80 %).
+
+    Where even bands of one value miss more, that is the choice down to a recall of 0.99; below (2 %) a ValueError is raised.
+    """
+    miss = {r: (1 - (percent / 100) ** r) ** (192 // r) for r in range(1, 33)}
+    if miss[1] > 0.01:
+        raise ValueError(f"a similarity of {percent} % is too low for 192 values")
+    r = max((r for r in miss if miss[r] <= 1e-6), default=1)
+    return 192 // r, r
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +108,8 @@ def _sets(k: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
+            if wanted is None:
+                continue
             ok = bits_set(wanted.value, mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(U64))) & ids.is_valid().to_numpy(zero_copy_only=False)
             at = pa.array(np.flatnonzero(ok))
             ids, texts = ids.take(at), batch.column(1).take(at)
@@ -134,8 +145,9 @@ def linked(sets: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndar
         x = np.zeros((m, min(columns, len(df) - c)), np.float32)
         x[owner[a:z], col[a:z] - c] = 1
         inter += x @ x.T
-    both = inter.astype(np.int64)
-    link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    link = np.zeros((m, m), bool)
+    for r in range(0, m, 256):
+        link[r : r + 256] = (100 + percent) * inter[r : r + 256].astype(np.float64) >= percent * (size[r : r + 256, None] + size[None, :])
     link &= (size > 0)[:, None] & (size > 0)[None, :]
     np.fill_diagonal(link, False)
     for i in range(m):
@@ -184,6 +196,27 @@ def _forest(percent: int):
     return run
 
 
+def _star(percent: int):
+    """Arrow function over rows sorted by (leader, i), the leader's own row first: (leader, doc_id, linked) of the other rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, centre = None, np.zeros(0, U64)
+        for b in batches:
+            out = []
+            for key, doc, blob in zip(zip(b.column("leader").to_pylist(), b.column("i").to_pylist(), strict=True), b.column("doc_id").to_pylist(), b.column("shingles"), strict=True):
+                own = np.frombuffer(blob.as_buffer(), "<u8").astype(U64)
+                if key != group:
+                    group, centre = key, own
+                    continue
+                at = np.searchsorted(centre, own)
+                both = int((centre[np.minimum(at, len(centre) - 1)] == own).sum()) if len(centre) else 0
+                out.append((key[0], doc, (100 + percent) * both >= percent * (len(own) + len(centre))))
+            x = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(x, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["leader", "doc_id", "linked"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048, block_shingles: int = 4_000_000) -> DataFrame:
     """Return (doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id bigint, text).
 
@@ -192,7 +225,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     so does a row without doc_id, whose component_id is null and which is kept. Rows that share a doc_id are one node.
     Without documents there are no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     n_bands, rows = bands(percent)
     sigs = store(docs.mapInArrow(_signatures(k, n_bands, rows), "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, keys array<bigint>"))
@@ -206,26 +238,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     leaders = placed.groupBy("key").agg(F.max(F.struct("degree", -F.col("doc_id"))).alias("best")).select("key", (-F.col("best.col2")).alias("leader"))
     groups = store(placed.join(leaders, "key").select("leader", "doc_id", "n_shingles").distinct())
     sizes = groups.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
-    # a doc of a group of several blocks goes to each pair of blocks that has its own
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") == 1))
-    dealt = groups.join(sizes, "leader").withColumn("own", own).withColumn("other", F.explode(others))
-    dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id")
-    needed = groups.select("doc_id").distinct()
-    hashed = needed.mapInArrow(_mixed, "doc_id bigint, at bigint")
-    wanted = spark.sparkContext.broadcast(bitmap(hashed, "at", bitmap_bits(needed.count(), most=27)))
-    sets = docs.mapInArrow(_sets(k, wanted), "doc_id bigint, shingles binary")
-    grouped = dealt.join(sets, "doc_id").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "doc_id")
-    found = components(grouped.select("leader", "i", "j", "doc_id", "shingles").mapInArrow(_forest(percent), "a bigint, b bigint"))
+    dealt = groups.select("leader", "doc_id").join(sizes, "leader")
+    sets = lambda ids: docs.mapInArrow(_sets(k, ids_bitmap(ids.select("doc_id").distinct())), "doc_id bigint, shingles binary")
+    small = dealt.filter("blocks = 1").select("leader", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id")
+    edges = _compared(small, sets(groups), percent)
+    large = store(dealt.filter("blocks > 1"))
+    if not large.isEmpty():
+        edges = edges.unionByName(_large_groups(large, sets, percent, block))
+    found = components(edges)
     classes = classes.join(found, classes.rep == found.node, "left").select("set1", "set2", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.drop("keys").join(classes, ["set1", "set2"], "left")
     mine = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", mine.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(as_long(mix(b.column(0).to_numpy().view(U64))))], ["doc_id", "at"])
+def _compared(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of a spanning forest of the links in each cell (leader, i, j) of documents."""
+    grouped = cells.join(sets, "doc_id").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "doc_id")
+    return grouped.select("leader", "i", "j", "doc_id", "shingles").mapInArrow(_forest(percent), "a bigint, b bigint")
+
+
+def _large_groups(large: DataFrame, sets, percent: int, block: int) -> DataFrame:
+    """Edges (a, b) that connect what links connect in groups (leader, doc_id, blocks) of several blocks."""
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    leaders = large.select("leader", "blocks").distinct().select("leader", each("blocks").alias("i"), F.col("leader").alias("doc_id"))
+    rows = large.filter("doc_id != leader").select("leader", own("blocks").alias("i"), "doc_id").unionByName(leaders)
+    met = rows.join(sets(large), "doc_id").repartition("leader", "i").sortWithinPartitions("leader", "i", F.col("doc_id") != F.col("leader"))
+    star = store(met.select("leader", "i", "doc_id", "shingles").mapInArrow(_star(percent), "leader bigint, doc_id bigint, linked boolean"))
+    edges = star.filter("linked").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+    rest = star.filter("not linked").select("leader", "doc_id")
+    n_rest = store(rest.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("rests")))
+    if n_rest.isEmpty():
+        return edges
+    both = large.join(n_rest, "leader")
+    cells = rest.join(both, ["leader", "doc_id"]).select("leader", own("rests").alias("i"), each("blocks").alias("j"), "doc_id")
+    cells = store(cells.unionByName(both.select("leader", each("rests").alias("i"), own("blocks").alias("j"), "doc_id")).distinct())
+    return edges.unionByName(_compared(cells, sets(cells), percent))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

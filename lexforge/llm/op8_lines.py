@@ -3,7 +3,7 @@
 Lines are split at newlines, tokens at white space. The tree has a fixed depth: token count, then the
 first ``depth`` tokens, in which tokens with a digit count as a variable field. The path is a line's leaf.
 
-1. Leaves are counted by document; in most leaves no line can recur and their lines go no further.
+1. Leaves (and long lines, see below) are counted by document; in most leaves no line can recur and their lines go no further.
 2. In the others the distinct lines, fields masked, pass by with their counts, the commonest first. A task holds the templates of one leaf, not its lines;
    above ``leaf_lines`` lines candidates come from an index by runs of equal tokens, which gives the same templates.
    There, lines join the template that shares most of their tokens, if that is at least ``similarity`` of them; where they differ the template gets a field.
@@ -22,15 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bitmap, same, store, table
+from .common import LAST, bitmap, fresh, repeated_ids, salted, same, store, table, tags_of
 from .kernels import NOT_SPACE, U64, Words, as_long, bits_set, chunks, group_starts, mix
 
 _b = np.arange(256)
 _LINE = _b != 10
 _DIGIT = (_b >= 48) & (_b <= 57)
 _FIELD = U64(0xF1E1D)
-_LAST = np.iinfo(np.int64).max
 
 
 class Lines:
@@ -64,27 +64,37 @@ def _line_hashes(tok: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(np.add.reduceat(mix(tok + where.astype(U64) * U64(0xD1B54A32D192ED03)), first) + n.astype(U64))
 
 
-def _leaves(depth: int, flush: int):
-    """Arrow function: (doc_id, text) to (leaf, documents)."""
+def _survey(depth: int | None, words: int | None, flush: int):
+    """Arrow function: (doc_id, text) to (kind, key, documents): 0 the leaves of a tree of ``depth``, 1 the lines of ``words`` tokens that are no field; None leaves a kind out."""
 
-    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-        leaf, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(as_long(leaf)), pa.array(n)], ["leaf", "docs"])
+    def out(parts: tuple[list[np.ndarray], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for kind, found in enumerate(parts):
+            if found:
+                key, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(as_long(key)), pa.array(n)], ["kind", "key", "docs"])
+
+    def once(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        return key[group_starts(doc, key)] if len(key) else key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
+        parts, n = ([], []), 0
         for b in batches:
             for _, _, data, off in chunks(b.column(1)):
-                x = Lines(data, off, depth)
-                order = np.lexsort((x.leaf, x.doc))
-                doc, leaf = x.doc[order], x.leaf[order]
-                parts.append(leaf[group_starts(doc, leaf)])
-                n += len(parts[-1])
+                x = Lines(data, off, depth or 0)
+                if depth is not None:
+                    parts[0].append(once(x.doc, x.leaf))
+                    n += len(parts[0][-1])
+                if words is not None:
+                    plain = np.r_[0, np.cumsum(x.tok != _FIELD)]
+                    at = np.flatnonzero(plain[x.end] - plain[x.first] >= words)
+                    parts[1].append(once(x.doc[at], x.hash[at]))
+                    n += len(parts[1][-1])
             if n > flush:
-                yield out(parts)
-                parts, n = [], 0
-        if parts:
-            yield out(parts)
+                yield from out(parts)
+                parts, n = ([], []), 0
+        yield from out(parts)
 
     return run
 
@@ -195,119 +205,104 @@ def _parse(similarity: float, depth: int, leaf_lines: int):
     return run
 
 
-def _found(depth: int, kept):
-    """Arrow function: (doc_id, text) to (line, doc_id, no) of the lines in the bitmap."""
+def _found(kept, repeated):
+    """Arrow function: (doc_id, text, hash of the text) to (line, doc_id, tag, no) of the lines in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).cast(pa.int64()).fill_null(_LAST)
+            ids = b.column(0).cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
+            tags = tags_of(ids, b.column(2).to_numpy(), repeated)
             for lo, _, data, off in chunks(b.column(1)):
-                x = Lines(data, off, depth)
+                x = Lines(data, off, 0)
                 at = np.flatnonzero(bits_set(kept.value, x.hash))
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(x.hash[at])), ids.take(pa.array(lo + x.doc[at])), pa.array(x.no[at].astype(np.int32))], ["line", "doc_id", "no"])
+                row = lo + x.doc[at]
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(x.hash[at])), pa.array(ids[row]), pa.array(tags[row]), pa.array(x.no[at].astype(np.int32))], ["line", "doc_id", "tag", "no"])
 
     return run
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts, n, gone = [], [], []
-        for text, drop in zip(b.column("text").to_pylist(), b.column("drop").to_pylist(), strict=True):
-            if text is None:
-                texts.append(None)
-                n.append(0)
-                gone.append(0)
-                continue
-            lines = text.split("\n")
-            n.append(sum(1 for x in lines if x.strip("\t\n\x0b\x0c\r ")))
-            gone.append(len(drop or ()))
-            if drop:
-                out = set(drop)
-                text = "\n".join(x for i, x in enumerate(lines) if i not in out)
-            texts.append(text)
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(b.num_columns - 1)), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*b.schema.names[:-1], "kept_text", "n_lines", "n_dropped"])
-
-
-def recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, similarity: float = 0.75, leaf_lines: int = 20_000, bits: int = 26, flush: int = 400_000) -> DataFrame:
-    """Return (doc_id, no) of the lines to drop from ``docs`` (doc_id bigint, text); see ``drop_lines``."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    leaves = docs.mapInArrow(_leaves(depth, flush), "leaf bigint, docs bigint").groupBy("leaf").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
-    leaves = store(leaves)
-    busy = spark.sparkContext.broadcast(bitmap(leaves, "leaf", bits))
-    lines = docs.mapInArrow(_masked(depth, busy, 100 * flush), "leaf bigint, line bigint, docs bigint, tokens binary")
-    lines = lines.groupBy("line").agg(F.min("leaf").alias("leaf"), F.sum("docs").alias("docs"), F.min("tokens").alias("tokens"))
-    lines = store(lines.join(leaves, "leaf", "left_semi").select("leaf", "line", "docs", "tokens"))
-    order = lines.repartition("leaf").sortWithinPartitions("leaf", F.length("tokens"), F.desc("docs"), "line")
-    parsed = store(order.mapInArrow(_parse(similarity, depth, leaf_lines), "line bigint, template bigint"))
-    total = parsed.join(lines.select("line", "docs"), "line").groupBy("template").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
-    parsed = store(parsed.join(total.select("template"), "template", "left_semi").select("line", "template"))
-    kept = spark.sparkContext.broadcast(bitmap(parsed, "line", bits))
-    at = store(docs.mapInArrow(_found(depth, kept), "line bigint, doc_id bigint, no int").join(parsed, "line").select("template", "doc_id", "no"))
-    # a document counts once for a template, whichever of its lines fit
-    firsts = at.groupBy("template", "doc_id").agg(F.count("*")).groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= min_docs)
-    out = at.join(firsts.select("template", "first"), "template").filter("doc_id > first")
-    return out.select(F.when(F.col("doc_id") != F.lit(int(_LAST)), F.col("doc_id")).alias("doc_id"), "no")
-
-
-def _long(words: int, flush: int):
-    """Arrow function: (doc_id, text) to (line, documents) of the long lines."""
-
-    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-        line, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(as_long(line)), pa.array(n)], ["line", "docs"])
+def _rebuild(text_at: int, names: list[str]):
+    """Arrow function: the columns of a table, the hash of the text and the lines to drop, to the columns with the rest of the text, its lines with a token and the dropped ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
         for b in batches:
-            for _, _, data, off in chunks(b.column(1)):
-                x = Lines(data, off, 0)
-                plain = np.r_[0, np.cumsum(x.tok != _FIELD)]
-                at = np.flatnonzero(plain[x.end] - plain[x.first] >= words)
-                at = at[np.lexsort((x.hash[at], x.doc[at]))]
-                parts.append(x.hash[at[group_starts(x.doc[at], x.hash[at])] if len(at) else at])
-                n += len(parts[-1])
-            if n > flush:
-                yield out(parts)
-                parts, n = [], 0
-        if parts:
-            yield out(parts)
+            texts, n, gone = [], [], []
+            for text, own, drop in zip(b.column(text_at).to_pylist(), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if text is None:
+                    texts.append(None)
+                    n.append(0)
+                    gone.append(0)
+                    continue
+                lines = text.split("\n")
+                n.append(sum(1 for x in lines if x.strip("\t\n\x0b\x0c\r ")))
+                out = {x["no"] for x in drop or () if x["tag"] in (0, own)}
+                gone.append(len(out))
+                if out:
+                    text = "\n".join(x for i, x in enumerate(lines) if i not in out)
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names)
 
     return run
 
 
-def recurring_long_lines(docs: DataFrame, words: int = 8, bits: int = 26, flush: int = 400_000) -> DataFrame:
-    """Return (doc_id, no) of the lines of at least ``words`` tokens without a digit that stand, fields masked, in a document with a lesser doc_id too."""
-    docs = docs.select("doc_id", "text")
-    lines = docs.mapInArrow(_long(words, flush), "line bigint, docs bigint").groupBy("line").agg(F.sum("docs").alias("docs")).filter("docs > 1").select("line")
-    lines = store(lines)
-    kept = docs.sparkSession.sparkContext.broadcast(bitmap(lines, "line", bits))
-    at = store(docs.mapInArrow(_found(0, kept), "line bigint, doc_id bigint, no int").join(lines, "line"))
-    out = at.join(at.groupBy("line").agg(F.min("doc_id").alias("first")), "line").filter("doc_id > first")
-    return out.select(F.when(F.col("doc_id") != F.lit(int(_LAST)), F.col("doc_id")).alias("doc_id"), "no")
+def recurring_lines(
+    docs: DataFrame, min_docs: int | None = 10, long_words: int | None = None, depth: int = 3, similarity: float = 0.75, leaf_lines: int = 20_000, bits: int = 26, flush: int = 400_000
+) -> DataFrame:
+    """Return (doc_id, tag, no) of the lines to drop from ``docs`` (doc_id bigint, text); see ``drop_lines``.
+
+    ``tag`` is xxhash64 of the row's text where several rows have the doc_id, else 0. ``min_docs`` None: no templates, long lines only.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
+    repeated = repeated_ids(docs)
+    counted = docs.mapInArrow(_survey(None if min_docs is None else depth, long_words, flush), "kind int, key bigint, docs bigint").groupBy("kind", "key").agg(F.sum("docs").alias("docs"))
+    found = store(counted.filter(F.col("docs") >= F.when(F.col("kind") == 0, F.lit(min_docs)).otherwise(2)).select("kind", "key"))
+    rules = found.filter("kind = 1").select(F.col("key").alias("line"), F.col("key").alias("template"), "kind")
+    if min_docs is not None:
+        leaves = found.filter("kind = 0").select(F.col("key").alias("leaf"))
+        busy = spark.sparkContext.broadcast(bitmap(leaves, "leaf", bits))
+        lines = docs.mapInArrow(_masked(depth, busy, 100 * flush), "leaf bigint, line bigint, docs bigint, tokens binary")
+        lines = lines.groupBy("line").agg(F.min("leaf").alias("leaf"), F.sum("docs").alias("docs"), F.min("tokens").alias("tokens"))
+        lines = store(lines.join(leaves, "leaf", "left_semi").select("leaf", "line", "docs", "tokens"))
+        order = lines.repartition("leaf").sortWithinPartitions("leaf", F.length("tokens"), F.desc("docs"), "line")
+        parsed = store(order.mapInArrow(_parse(similarity, depth, leaf_lines), "line bigint, template bigint"))
+        total = parsed.join(lines.select("line", "docs"), "line").groupBy("template").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
+        rules = rules.unionByName(parsed.join(total.select("template"), "template", "left_semi").select("line", "template", F.lit(0).alias("kind")))
+    rules = store(rules)
+    kept = spark.sparkContext.broadcast(bitmap(rules, "line", bits))
+    at = store(salted(docs.mapInArrow(_found(kept, repeated), "line bigint, doc_id bigint, tag bigint, no int"), rules, ["line"]).select("kind", "template", "doc_id", "tag", "no"))
+    # a document counts once for a template, whichever of its lines fit
+    firsts = at.groupBy("kind", "template", "doc_id").agg(F.count("*")).groupBy("kind", "template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+    firsts = firsts.filter(F.col("docs") >= F.when(F.col("kind") == 0, F.lit(min_docs)).otherwise(2)).drop("docs")
+    out = salted(at, firsts, ["kind", "template"]).filter("doc_id > first")
+    return out.select(F.when(F.col("doc_id") != F.lit(LAST), F.col("doc_id")).alias("doc_id"), "tag", "no")
+
+
+def recurring_long_lines(docs: DataFrame, words: int = 8, **options) -> DataFrame:
+    """Return (doc_id, tag, no) of the lines of at least ``words`` tokens without a digit that stand, fields masked, in a document with a lesser doc_id too."""
+    return recurring_lines(docs, None, words, **options)
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 10, long_words: int | None = None, **options) -> DataFrame:
-    """Return the columns of ``docs`` (doc_id bigint, text and any others) with kept_text, n_lines (with a token) and n_dropped.
+    """Return the columns of ``docs`` (doc_id bigint, text and any others) with kept_text, n_lines (with a token) and n_dropped, which take the place of columns of these names.
 
     A template that ``min_docs`` documents have stays in the document with the least doc_id and goes from all others. With ``long_words`` lines
     of so many words do so from two documents on; without it documents below that many copies stay whole for near-duplicate search. Null text stays null and has no lines; empty lines are never dropped.
-    A null doc_id counts as the largest; rows that share a doc_id are one document. Without documents there are no rows.
+    A null doc_id counts as the largest; rows that share a doc_id count as one document, and each loses lines of its own text. Without documents there are no rows.
     """
-    gone = recurring_lines(docs, min_docs, **options)
-    if long_words is not None:
-        gone = gone.unionByName(recurring_long_lines(docs, long_words))
-    return without_lines(docs, gone)
+    names = ("kept_text", "n_lines", "n_dropped")
+    return without_lines(docs.drop(*[c for c in docs.columns if c.lower() in names]), recurring_lines(docs, min_docs, long_words, **options), names)
 
 
-def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The result of ``drop_lines`` for the lines (doc_id, no) to drop."""
-    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("drop"))
-    clash = [c for c in docs.columns if c in ("kept_text", "n_lines", "n_dropped", "drop", "_key")]
+def without_lines(docs: DataFrame, gone: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+    """The columns of ``docs`` and three of these new names: the result of ``drop_lines`` for the lines (doc_id, tag, no) to drop."""
+    own, drop = fresh("own", docs), fresh("drop", docs)
+    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("no", "tag"))).alias(drop))
     # texts are dealt by doc_id at every size, whether the list of lines could be broadcast or not
-    joined = same(docs.drop(*clash), gone.hint("merge"), "doc_id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
-    return joined.mapInArrow(_rebuild, f"{schema}, kept_text string, n_lines bigint, n_dropped bigint")
+    joined = same(docs.withColumn(own, F.xxhash64("text")), gone.hint("merge"), "doc_id")
+    out = [*docs.columns, *names]
+    kinds = [T.StringType(), T.LongType(), T.LongType()]
+    return joined.mapInArrow(_rebuild(docs.columns.index("text"), out), T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))]))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
