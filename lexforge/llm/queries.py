@@ -21,5 +21,6 @@ ORACLES = {
     "op1_decontaminate": op1_decontaminate.SQL,
     "op3_substring_dedup": op3_substrings.SQL,
     "op4_mix": op4_mix.SQL,
+    "op5_quality": op5_quality.SQL,
     "op6_minhash": op6_minhash.SQL,
 }
