@@ -1,22 +1,25 @@
-"""LM scoring by logistic context mixing over bits.
-
-A text is its lower-cased bytes and an end symbol (0xFF, which UTF-8 doesn't have). Each byte is eight binary decisions. For every decision several
-predictors (the last two, four and six bytes, and the word so far) have a logit from the counts of the training
-documents. The logits are combined by weights that a gate selects (bit position, and whether the two longest contexts are well known); the weights
-are learned online over all training texts, part by part, each position's own occurrence taken out of the counts, and averaged. A last stage refines
-the mix adaptively inside each document: scale and bias of each bit position follow the coding loss of the document's blocks so far. All predictions depend
-on what stands before only, so the score is the log10 probability of the text.
-
-Counts are kept by the whole context (bytes as they are, the word by 54 bits of hash), so they grow with the corpus. Each task cuts its documents
-into parts of bounded size and sends a part's distinct (context, byte) pairs and tokens to buckets, with their training counts. A bucket sums the counts of
-all parts and answers each part with the logits of its pairs and its documents' sums of the unigram base. The parts then meet their answers twice:
-to learn the weights, and to score.
+"""LM scoring by online logistic context mixing over bits.
+
+A text is its lower-cased bytes and an end symbol, cut into units: a word, the white space behind it and a symbol that closes it (two bytes that UTF-8 doesn't have).
+Each byte is eight binary decisions. For every decision several predictors have a logit from the counts of the training documents, by hashed context
+within the unit: the last two bytes, from the fourth byte on all bytes before, from the sixth on the last four.
+
+The logits are combined by gated weights: the longest context takes the share that its count earns (n of n + tau), the next one its share of the rest, and so on.
+What the bits say of a whole unit is then refined by how often it followed the word before: (count + kappa * bits) of (count of the word + kappa).
+``MIXERS`` are several tau and kappa; a document is coded by all of them, and the weights among them are updated online, after each block
+of the document, by how well they coded it. All predictions depend on what stands before only, so the score is the log10 probability of the text.
+
+Counts are kept by hashes of the whole contexts, whose bits follow the size of the corpus (256 slots for each of its bytes), so they grow with it. Contexts lie inside units,
+so a task settles most of its work once for each distinct unit of a part of its documents. It sends the part's distinct (context, byte) pairs, (word, unit) pairs and tokens to
+buckets with their training counts; a bucket sums the counts of all parts and answers each part; the part meets its answers and is scored. Buckets are
+ranges of hashes, and their number follows the size of the corpus, so that no task grows with it.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,251 +28,272 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches_of, store, table
-from .kernels import LOWER, NOT_SPACE, U64, Words, _Powers, chunks, group_starts, mix
-
-#: Predictors: bytes before (0: the word so far), and bits of the slots of their half-byte contexts.
-CONTEXTS = ((2, 14), (4, 18), (6, 19), (0, 19))
-K = len(CONTEXTS)
-#: The predictors by whose slots the gate is chosen.
-_GATED = (1, 3)
-_END, _PAD, _BACK = 0xFF, 6, 64
-_GATES = 4
-_KNOWN = 24
-_STEP = 256
+from .kernels import _BYTE, _POW, LOWER, NOT_SPACE, U64, chunks, group_starts, mix, seeds, spans_hash
+
+#: End of a text and of a unit: bytes that UTF-8 doesn't have.
+_END, _CLOSE = 0xFF, 0xFE
+_FOLD = np.where(np.arange(256) >= _CLOSE, 0xFD, LOWER).astype(np.uint8)
+_WORD = NOT_SPACE & (np.arange(256) < _CLOSE)
 _END_TOKEN = U64(0xE0D0E0D0E0D)
-_x = np.arange(256)
-#: +1 or -1 for each bit of each byte, the highest first.
-_SIGNS = np.stack([((_x >> (7 - b)) & 1) * 2 - 1 for b in range(8)], axis=1).astype(np.float32)
-_MUL = U64(0x9E3779B97F4A7C15)
-_WORD, _WORD_INV = _Powers(0x9E3779B97F4A7C15 | 1), _Powers(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
+#: Kinds of contexts: last two bytes, last four, whole unit so far.
+TWO, FOUR, PREFIX = range(3)
+_SALT = seeds(4, 707)
+#: Bytes of a unit before a predictor speaks.
+_FROM = {TWO: 0, PREFIX: 3, FOUR: 5}
 #: Added to the counts of zeros and ones.
-PRIOR = 0.4
+PRIOR = 0.15
+#: Gates (tau, scale): a context seen n times takes n / (n + tau) of what longer ones left, and the mix is scaled.
+GATES = ((0.3, 1.1), (3.0, 1.1))
+#: Mixers (gate, kappa): what the bits say weighs as much as kappa occurrences of the word before.
+MIXERS = tuple((g, k) for g in range(len(GATES)) for k in (1.0, 10.0, 100.0, 1000.0))
+#: Units of a document that are coded between two updates of the weights among the mixers, and what each update shares out evenly.
+BLOCK, SHARE = 16, 0.02
+
+
+# ---------------------------------------------------------------- units and contexts
 
 
-def padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes with room before each document and an end behind it, places of what is coded, document of each)."""
+def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes with the symbols that close units and documents, lengths of the units, first unit of each document, with an end)."""
     m = len(off) - 1
-    n = np.diff(off)
-    doc = np.repeat(np.arange(m), n + 1)
-    at = np.arange(len(doc)) + _PAD * (doc + 1)
-    out = np.zeros(len(doc) + _PAD * m, np.uint8)
-    last = np.cumsum(n + 1) - 1
-    inside = np.ones(len(doc), bool)
-    inside[last] = False
-    out[at[inside]] = LOWER[data]
-    out[at[last]] = _END
-    return out, at, doc
-
-
-def slots(buf: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each predictor the entries of the high and low half of the byte at each of the places ``at``: 16 * slot + half.
-
-    The slot of the high half depends on the bytes before, that of the low half on the high half too.
-    """
-    b = buf.astype(U64)
-    n = len(b)
-    here = buf[at]
-    high, low = (here >> 4).astype(np.int64), (here & 15).astype(np.int64)
-    out, c, done = [], np.zeros(len(at), U64), 0
-    for order, bits in CONTEXTS:
-        if order:
-            while done < order:
-                done += 1
-                c = (c << U64(8)) | b[np.maximum(at - done, 0)]
-            v = c + U64(order << 56)
-        else:
-            # a polynomial hash of the bytes since the last white space or room
-            space = ~NOT_SPACE[buf] | (buf == 0)
-            start = np.maximum.accumulate(np.where(space, np.arange(n) + 1, 0))
-            s = np.zeros(n + 1, U64)
-            np.cumsum(b * _WORD.upto(n), out=s[1:])
-            begin = np.r_[0, start[:-1]][at]
-            v = (s[at] - s[begin]) * _WORD_INV.upto(n + 1)[begin]
-        v ^= v >> U64(29)
-        v *= _MUL
-        v ^= v >> U64(32)
-        first = (v * _MUL) >> U64(64 - bits)
-        v += (high + 1).astype(U64) * U64(0xD1B54A32D192ED03)
-        v ^= v >> U64(31)
-        second = (v * _MUL) >> U64(64 - bits)
-        out.append(((first << U64(4)).astype(np.int64) | high, (second << U64(4)).astype(np.int64) | low))
-    return out
+    data = _FOLD[data]
+    blank = ~NOT_SPACE[data]
+    closes = np.zeros(len(data), bool)
+    closes[1:] = blank[:-1] & ~blank[1:]
+    full = off[:-1] < off[1:]
+    closes[off[:-1][full]] = False
+    last = off[1:][full]
+    last = last[blank[last - 1]]
+    buf = np.insert(data, np.r_[np.flatnonzero(closes), last, off[1:]], np.repeat(np.array([_CLOSE, _END], np.uint8), [int(closes.sum()) + len(last), m]))
+    end = np.flatnonzero(buf >= _CLOSE) + 1
+    stop = buf[end - 1] == _END
+    return buf, np.diff(end, prepend=0), np.r_[0, np.flatnonzero(stop) + 1]
+
 
+class Part:
+    """Documents as runs of distinct units: ``data`` and ``lens`` of these, ``unit`` their numbers in order, ``first`` unit of each document, with an end."""
+
+    def __init__(self, data: np.ndarray, lens: np.ndarray, unit: np.ndarray, first: np.ndarray) -> None:
+        self.data, self.lens, self.unit, self.first = data, lens, unit, first
+        self.off = np.cumsum(lens) - lens
+        self.kind_of = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+        self.at = np.arange(len(data), dtype=np.int32) - self.off.astype(np.int32)[self.kind_of]
+        self.hash = spans_hash(data, lens)
+        word = _WORD[data]
+        n = np.add.reduceat(word, self.off, dtype=np.int64)
+        self.has = n > 0
+        own = np.full(len(lens), _END_TOKEN)
+        own[self.has] = spans_hash(data[word], n[self.has])
+        # tokens, sorted, and the token of each distinct unit; the end is one, also of units without a word
+        self.token, inverse = np.unique(np.r_[own, _END_TOKEN], return_inverse=True)
+        self.token_of, self.end = inverse[:-1].astype(np.int32), int(inverse[-1])
+
+    def followers(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes of a word (at the start, the end token) and the unit behind it; ``follows``: units that follow one, the token before, and the number of the hash."""
+        before = np.empty(len(self.unit), np.int32)
+        before[1:] = self.token_of[self.unit[:-1]]
+        ok = np.ones(len(self.unit), bool)
+        ok[1:] = self.has[self.unit[:-1]]
+        before[self.first[:-1]] = self.end
+        ok[self.first[:-1]] = True
+        place = np.flatnonzero(ok)
+        v = mix((self.token[before[place]] + mix(self.hash)[self.unit[place]]) ^ _SALT[3]) >> U64(64 - bits)
+        keys, number = _distinct([v])
+        self.follows = place, before[place], number[0]
+        return keys
+
+    def spread(self, x: np.ndarray) -> np.ndarray:
+        """Values of documents to their units."""
+        return np.repeat(x, np.diff(self.first))
+
+    def contexts(self, bits: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each kind (places, pairs): places in ``data``, and context and byte in one word."""
+        d, at = self.data, self.at
+        byte = d.astype(U64)
+        room = U64(64 - bits)
+        named = lambda v, kind, b: ((mix(v ^ _SALT[kind]) >> room) << U64(8)) | b
+        out = {}
+        v = np.zeros(len(d), U64)
+        v[1:] = np.where(at[1:] > 0, byte[:-1] + U64(1), U64(0))
+        v[2:] |= np.where(at[2:] > 1, byte[:-2] + U64(1), U64(0)) << U64(9)
+        out[TWO] = (np.arange(len(d)), named(v, TWO, byte))
+        i = np.flatnonzero(at >= _FROM[FOUR])
+        v = byte[i - 1] | byte[i - 2] << U64(8) | byte[i - 3] << U64(16) | byte[i - 4] << U64(24)
+        out[FOUR] = (i, named(v, FOUR, byte[i]))
+        i = np.flatnonzero(at >= _FROM[PREFIX])
+        sums = np.r_[U64(0), np.cumsum(_BYTE[d] * _POW.upto(int(at.max(initial=0)) + 1)[at])]
+        out[PREFIX] = (i, named(sums[i] - sums[self.off[self.kind_of[i]]], PREFIX, byte[i]))
+        return out
 
-def pairs(buf: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """For predictor ``k`` the (context, byte) at each of the places ``at`` in one word: predictor (2 bits), context (54), byte (8)."""
-    b = buf.astype(U64)
-    n = len(b)
-    if order := CONTEXTS[k][0]:
-        v = np.zeros(len(at), U64)
-        for i in range(1, order + 1):
-            v = (v << U64(8)) | b[at - i]
-    else:
-        space = ~NOT_SPACE[buf] | (buf == 0)
-        start = np.maximum.accumulate(np.where(space, np.arange(n) + 1, 0))
-        s = np.zeros(n + 1, U64)
-        np.cumsum(b * _WORD.upto(n), out=s[1:])
-        begin = np.r_[0, start[:-1]][at]
-        v = mix((s[at] - s[begin]) * _WORD_INV.upto(n + 1)[begin]) >> U64(10)
-    return ((v | U64(k << 54)) << U64(8)) | b[at]
-
-
-def encoded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(distinct pairs of a part, for each predictor the number of the pair at each coded place)."""
+    def numbered(self, bits: int) -> np.ndarray:
+        """Sorted distinct pairs; ``number`` gets the number of the pair at each byte of ``data`` for each kind, -1 where it doesn't speak."""
+        found = self.contexts(bits)
+        keys, numbers = _distinct([pair for _, pair in found.values()])
+        self.number = {}
+        for (kind, (place, _)), n in zip(found.items(), numbers, strict=True):
+            self.number[kind] = np.full(len(self.data), -1, np.int32)
+            self.number[kind][place] = n
+        return keys
+
+    def counts(self, train: np.ndarray, n_pairs: int, n_followers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often tokens, pairs and followers occur in the documents ``train``."""
+        mine = self.spread(train)
+        times = np.bincount(self.unit[mine], minlength=len(self.lens))
+        tokens = np.bincount(self.token_of, weights=times * self.has, minlength=len(self.token))
+        tokens[self.end] += train.sum()
+        pairs = np.zeros(n_pairs)
+        for number in self.number.values():
+            at = np.flatnonzero(number >= 0)
+            pairs += np.bincount(number[at], weights=times[self.kind_of[at]], minlength=n_pairs)
+        place, _, number = self.follows
+        followers = np.bincount(number[mine[place]], minlength=n_followers)
+        return tokens.astype(np.int64), pairs.astype(np.int64), followers
+
+    def base(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, known tokens, sum of log10(c + 1)) of each document by the training counts of the part's tokens."""
+        c, word = tokens[self.token_of[self.unit]], self.has[self.unit]
+        sums = lambda x: np.add.reduceat(x, self.first[:-1])
+        end = int(tokens[self.end])
+        return sums(word.astype(np.int64)) + 1, sums((word & (c > 0)).astype(np.int64)) + int(end > 0), sums(np.where(word, np.log10(c + 1.0), 0)) + math.log10(end + 1)
+
+    def bit_costs(self, codes: np.ndarray) -> np.ndarray:
+        """Nats of each distinct unit by its bits, under each gate; ``codes`` are the answers to the numbered pairs."""
+        logit, seen = logits(codes)
+        inside = np.empty((len(self.data), len(GATES)), np.float32)
+        for ks, lo, hi in (((TWO,), 0, 3), ((PREFIX, TWO), 3, 5), ((PREFIX, FOUR, TWO), 5, None)):
+            i = np.flatnonzero((self.at >= lo) & (self.at < hi)) if hi else np.flatnonzero(self.at >= lo)
+            for a in range(0, len(i), 8192):
+                p = i[a : a + 8192]
+                inside[p] = cost([self.number[k][p] for k in ks], logit, seen)
+        return np.add.reduceat(inside, self.off, axis=0, dtype=np.float64)
+
+    def scores(self, codes: np.ndarray, followers: np.ndarray, tokens: np.ndarray, run: int = 1 << 18) -> np.ndarray:
+        """log10 probability of each document by the answers to its pairs, followers and tokens; documents of some ``run`` units at a time."""
+        bits = self.bit_costs(codes)
+        with np.errstate(under="ignore"):
+            share = np.exp(-bits)
+        many = {kappa: np.log(tokens + kappa) for _, kappa in MIXERS}
+        place, before, number = self.follows
+        out, lo = np.zeros(len(self.first) - 1), 0
+        while lo < len(out):
+            hi = max(lo + 1, int(np.searchsorted(self.first, self.first[lo] + run, "right")) - 1)
+            a, z = self.first[lo], self.first[hi]
+            unit = self.unit[a:z]
+            x, y = np.searchsorted(place, [a, z])
+            at, n, token = place[x:y] - a, followers[number[x:y]].astype(np.float64), before[x:y]
+            own = unit[at]
+            loss = np.empty((z - a, len(MIXERS)))
+            for m, (gate, kappa) in enumerate(MIXERS):
+                loss[:, m] = bits[unit, gate]
+                p = n + kappa * share[own, gate]
+                tiny = np.flatnonzero(p < 1e-200)  # many bits of a unit that never followed
+                p[tiny] = 1
+                p = many[kappa][token] - np.log(p)
+                p[tiny] = many[kappa][token[tiny]] - math.log(kappa) + bits[own[tiny], gate]
+                loss[at, m] = p
+            out[lo:hi] = coded(loss, self.first[lo : hi + 1] - a)
+            lo = hi
+        return -out / np.log(10)
+
+
+def _distinct(arrays: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(sorted distinct values of all arrays, for each array their numbers); equal values of two arrays, which hashes have by chance only, are two."""
     keys, numbers, n = [], [], 0
-    for k in range(K):
-        found = np.empty(len(data) + len(off) - 1, U64)
-        for lo, hi in runs(off):
-            buf, at, _ = padded(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            found[off[lo] + lo : off[hi] + hi] = pairs(buf, at, k)
-        d = pa.array(found).dictionary_encode()
+    for x in arrays:
+        d = pa.array(x).dictionary_encode()
         keys.append(d.dictionary.to_numpy(zero_copy_only=False))
         numbers.append(d.indices.to_numpy(zero_copy_only=False) + np.int32(n))
         n += len(keys[-1])
-    return np.concatenate(keys), numbers
+    keys = np.concatenate(keys)
+    order = np.argsort(keys)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.arange(n, dtype=np.int32)
+    return keys[order], [rank[x] for x in numbers]
 
 
-def runs(off: np.ndarray, limit: int = 1 << 17) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of documents of about ``limit`` bytes."""
-    lo, n = 0, len(off) - 1
-    while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1))
-        yield lo, hi
-        lo = hi
+# ---------------------------------------------------------------- counts as codes
 
+_EXACT, _STEPS = 32, 6
+#: Count that a code stands for: whole up to 32, from there six steps an octave.
+VALUES = np.r_[np.arange(_EXACT + 1), _EXACT * 2.0 ** (np.arange(1, 256 - _EXACT) / _STEPS)]
 
-def bucketed(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the pairs by bucket of their context and pair, ends of the buckets)."""
-    bucket = mix(keys >> U64(8)) % U64(buckets)
-    bucket = bucket.astype(np.min_scalar_type(buckets))
-    order = np.argsort(keys)  # no two are alike
-    order = order[np.argsort(bucket[order], kind="stable")]
-    return order, np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]
 
+def quantised(count: np.ndarray) -> np.ndarray:
+    """Code of each count."""
+    out = np.minimum(count, _EXACT).astype(np.uint8)
+    large = np.flatnonzero(count > _EXACT)
+    out.reshape(-1)[large] = np.minimum(_EXACT + np.rint(_STEPS * np.log2(count.reshape(-1)[large] / _EXACT)), 255)
+    return out
 
-def pair_logits(keys: np.ndarray, count: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted distinct pairs, which hold all the bytes of their contexts: signed logits of the eight bits in sixteenths of a nat,
-    the same with one occurrence of the pair taken out, and whether the context is well known."""
-    c = count.astype(np.float64)
+
+#: Codes of a pair: nine of what stands before its bits (all but the last as steps to the next), and eight of the other bits there.
+_CODES = 17
+
+
+def answers(keys: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Codes of sorted distinct pairs, which hold all the bytes of their contexts: how often the byte's first 0, 1, ... 8 bits occurred, and how often another bit than the first, ... eighth did after the same bits."""
     sums = []
     for j in range(9):
         first = group_starts(keys >> U64(8 - j))
-        sums.append(np.repeat(np.add.reduceat(c, first), np.diff(np.r_[first, len(keys)])))
-    full, less = np.empty((len(keys), 8), np.int8), np.empty((len(keys), 8), np.int8)
-    for b in range(8):
-        own, other = sums[b + 1], sums[b] - sums[b + 1] + prior
-        full[:, b] = np.clip(np.rint(16 * np.log((own + prior) / other)), -127, 127)
-        less[:, b] = np.clip(np.rint(16 * np.log((np.maximum(own - 1, 0) + prior) / other)), -127, 127)
-    return full, less, sums[0] >= _KNOWN
-
-
-class Model:
-    """Tables of a trained model: for each predictor and (slot, half byte) four signed logits in one word, and whether slots are well known."""
-
-    def __init__(self, counts: Iterable[np.ndarray], weights: np.ndarray) -> None:
-        self.weights = weights / np.float32(16)  # logits are in sixteenths
-        self.packed, self.known = [], {}
-        for k, c in enumerate(counts):  # one table of counts at a time
-            self.packed.append(pack(c))
-            if k in _GATED:
-                self.known[k] = (c.sum(axis=1) >= _KNOWN).astype(np.int8)
-
-    def mixed(self, sl: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Mixed signed logits (places, 8): of the bits that are there."""
-        gate = self.known[_GATED[0]][sl[_GATED[0]][0] >> 4] + 2 * self.known[_GATED[1]][sl[_GATED[1]][0] >> 4]
-        n = len(gate)
-        z = np.zeros((n, 8), np.float32)
-        both, logit, weight = np.empty((n, 2), np.uint32), np.empty((n, 8), np.float32), np.empty((n, 8), np.float32)
-        for k in range(K):
-            np.take(self.packed[k], sl[k][0], out=both[:, 0], mode="clip")
-            np.take(self.packed[k], sl[k][1], out=both[:, 1], mode="clip")
-            np.copyto(logit, both.view(np.int8).reshape(-1, 8))
-            np.take(self.weights[k], gate, axis=0, out=weight, mode="clip")
-            logit *= weight
-            z += logit
-        return z
-
-
-def node_counts(c: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bit, zeros, ones) of counts (rows, 16): zeros and ones by row and higher bits."""
-    for b in range(4):
-        g = c.reshape(len(c), 1 << b, 2, 1 << (3 - b)).sum(axis=3)
-        yield b, g[:, :, 0], g[:, :, 1]
-
-
-def pack(counts: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """(slots * 16) words of four int8, in sixteenths of a nat."""
-    out = np.zeros((len(counts), 16, 4), np.int8)
-    half = np.arange(16)
-    for lo in range(0, len(counts), 16_384):
-        part = counts[lo : lo + 16_384].astype(np.float32)
-        for b, zero, one in node_counts(part):
-            logit = np.log((one + prior) / (zero + prior))
-            signed = logit[:, half >> (4 - b)] * _SIGNS[half, 4 + b]
-            out[lo : lo + 16_384, :, b] = np.clip(np.rint(signed * 16), -127, 127)
-    return out.reshape(-1).view(np.uint32)
-
-
-def refine(z: np.ndarray, byte: np.ndarray, doc: np.ndarray, pos: np.ndarray, m: int, state: np.ndarray | None = None, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 probability by document, state) after the adaptive stage, which learns after each block of a document.
-
-    ``state`` (documents, 2, 8): scale and bias of each bit position.
-    """
-    if state is None:
-        state = np.zeros((m, 2, 8), np.float32)
-        state[:, 0] = 1
-    total = np.zeros(m)
-    block = pos // _STEP
-    order = np.argsort(block, kind="stable")
-    if block.max(initial=0):
-        z, byte, doc, block = z[order], byte[order], doc[order], block[order]
-    signs = _SIGNS[byte]
-    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        x, y, d = z[lo:hi], signs[lo:hi], doc[lo:hi]
-        if lo == hi:
-            continue
-        own = group_starts(d)
-        who = d[own]
-        times = np.diff(np.r_[own, len(d)])
-        v = x * np.repeat(state[who, 0], times, axis=0)
-        v += y * np.repeat(state[who, 1], times, axis=0)
+        sums.append(np.repeat(np.add.reduceat(count, first), np.diff(np.r_[first, len(keys)])) if len(keys) else count)
+    seen = [quantised(x) for x in sums]
+    return np.stack([*(seen[b] - seen[b + 1] for b in range(8)), seen[8], *(quantised(sums[b] - sums[b + 1]) for b in range(8))], axis=1)
+
+
+def logits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(logits of the bits that are there, occurrences of what stands before them), by pair and bit; those of two bytes that differ in a bit are opposite there."""
+    value = VALUES.astype(np.float32)
+    logit, seen = np.empty((len(codes), 8), np.float32), np.empty((len(codes), 8), np.float32)
+    own = codes[:, 8]
+    for b in range(7, -1, -1):
+        logit[:, b] = np.log((value[own] + np.float32(PRIOR)) / (value[codes[:, 9 + b]] + np.float32(PRIOR)))
+        own = own + codes[:, b]  # modulo 256
+        seen[:, b] = value[own]
+    return logit, seen
+
+
+def cost(numbers: list[np.ndarray], logit: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Nats of bytes under each gate; ``numbers``: of the pairs of each predictor, the longest context first."""
+    x, n = [logit[i] for i in numbers], [seen[i] for i in numbers]
+    out = np.empty((len(numbers[0]), len(GATES)), np.float32)
+    for m, (tau, scale) in enumerate(GATES):
+        z, rest = 0, np.float32(1)
+        for a, c in zip(x, n, strict=True):
+            w = c / (c + np.float32(tau))
+            w *= rest
+            z = z + w * a
+            rest = rest - w
         # no bit costs more than 20 nats; so the product of four factors stays in range
-        np.clip(v, -20, 20, out=v)
-        np.negative(v, out=v)
-        np.exp(v, out=v)
+        v = np.exp(np.clip(z * np.float32(-scale), -20, 20))
         v += 1
-        loss = np.log(v[:, 0] * v[:, 1] * v[:, 2] * v[:, 3]) + np.log(v[:, 4] * v[:, 5] * v[:, 6] * v[:, 7])
-        total[who] -= np.add.reduceat(loss.astype(np.float64), own)
-        np.reciprocal(v, out=v)
-        np.subtract(1, v, out=v)
-        state[who, 0] += rate * np.clip(np.add.reduceat(v * x, own, axis=0) / 16, -4, 4)
-        v *= y
-        state[who, 1] += rate * np.clip(np.add.reduceat(v, own, axis=0) / 4, -4, 4)
-        np.clip(state[:, 0], 0.3, 3, out=state[:, 0])
-    return total / np.log(10), state
-
-
-def score_texts(model: Model, data: np.ndarray, off: np.ndarray, piece: int = 1 << 17) -> np.ndarray:
-    """log10 probability of each document of a run; one longer than ``piece`` is scored piece by piece, its state kept."""
-    m = len(off) - 1
-    if m == 1 and len(data) > piece:
-        buf, at, _ = padded(data, off)
-        total, state = 0.0, None
-        for lo in range(0, len(at), piece):
-            here = at[lo : lo + piece]
-            back = max(0, here[0] - _BACK)
-            sub = buf[back : here[-1] + 1]
-            byte = sub[here - back].astype(np.int64)
-            z = model.mixed(slots(sub, here - back))
-            part, state = refine(z, byte, np.zeros(len(here), np.int64), np.arange(lo, lo + len(here)), 1, state)
-            total += part[0]
-        return np.array([total])
-    buf, at, doc = padded(data, off)
-    byte = buf[at].astype(np.int64)
-    z = model.mixed(slots(buf, at))
-    first = np.r_[0, np.cumsum(np.diff(off) + 1)][:-1]
-    return refine(z, byte, doc, np.arange(len(at)) - first[doc], m)[0]
+        out[:, m] = np.log(v[:, 0] * v[:, 1] * v[:, 2] * v[:, 3]) + np.log(v[:, 4] * v[:, 5] * v[:, 6] * v[:, 7])
+    return out
+
+
+def coded(loss: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Nats of each document: its blocks are coded by the mixers together, whose weights follow the blocks before."""
+    n_units = np.diff(first)
+    total, m = np.zeros(len(n_units)), loss.shape[1]
+    if not len(loss):
+        return total
+    n_blocks = -(-n_units // BLOCK)
+    start = np.repeat(first[:-1], n_blocks) + BLOCK * (np.arange(n_blocks.sum()) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks))
+    sums = np.add.reduceat(loss, start, axis=0)
+    order = np.argsort(-n_blocks, kind="stable")
+    begin, left = (np.cumsum(n_blocks) - n_blocks)[order], n_blocks[order]
+    weight = np.full((len(order), m), 1 / m)
+    for t in range(int(left[0])):
+        live = int(np.searchsorted(-left, -t, "left"))
+        x = sums[begin[:live] + t]
+        least = x.min(axis=1)
+        p = weight[:live] * np.exp(least[:, None] - x)
+        s = p.sum(axis=1)
+        total[order[:live]] += least - np.log(s)
+        weight[:live] = p / s[:, None] * (1 - SHARE) + SHARE / m
+    return total
+
+
+# ---------------------------------------------------------------- exchange
 
 
 def held_out(ids: pa.Array) -> np.ndarray:
@@ -277,306 +301,191 @@ def held_out(ids: pa.Array) -> np.ndarray:
     return np.array([x is not None and zlib.crc32(str(x).encode()) % 7 == 2 for x in ids.to_pylist()], bool)
 
 
-def learn_part(part: Part, w: np.ndarray, rate: float = 0.006, step: int = 512, block: int = 1 << 15) -> int:
-    """Update ``w`` (K, gates, 8) online over the training texts of a part; returns their places."""
-    take = np.flatnonzero(np.repeat(part.held == 0, np.diff(part.off) + 1))
-    for lo in range(0, len(take), block):
-        at = take[lo : lo + block]
-        gate = part.gate(at)
-        x = np.stack([part.less[part.numbers[k][at]] for k in range(K)]).astype(np.float32) / np.float32(16)
-        for i in range(0, len(at), step):
-            y, g = x[:, i : i + step], gate[i : i + step]
-            z = np.clip((y * w[:, g]).sum(axis=0), -30, 30)
-            y = y * (1 / (1 + np.exp(z)))
-            for v in range(_GATES):
-                w[:, v] += np.float32(rate / 4) * y[:, g == v].sum(axis=1)
-    return len(take)
+def packed(x: np.ndarray) -> bytes:
+    """Rows of numbers, byte by byte of all rows, compressed."""
+    x = np.ascontiguousarray(x)
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Rows of bytes, column by column, compressed."""
-    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+def unpacked(blob: bytes, kind: str, width: int = 1) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    rows = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize * width, -1).T)
+    out = rows.view(kind)
+    return out[:, 0] if width == 1 else out
 
 
-def _rows_of(blob: bytes, width: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(width, -1).T)
+def _joined(x: bytes, y: bytes) -> bytes:
+    return len(x).to_bytes(8, "little") + x + y
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Two rows of counts, low and high bytes apart, compressed."""
-    return zlib.compress(np.stack(arrays).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _pairs_packed(keys: np.ndarray) -> bytes:
+    """Sorted numbers, by their differences."""
+    return packed(np.diff(keys, prepend=U64(0)).astype("<u8"))
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").reshape(2, -1)
+def _pairs_of(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(blob, "<u8"), dtype=U64)
 
 
-def _requests(buckets: int, flush: int):
-    """Arrow function: (doc_id, text) to rows of three kinds, by task part: buckets below ``buckets`` hold tokens and postings, those from there on (context, byte)
-    pairs and training counts, and bucket < 0 the documents."""
-    fields = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+def _pieces(keys: np.ndarray, width: int, buckets: int) -> Iterator[tuple[int, slice]]:
+    """(bucket, its slice) of sorted numbers of ``width`` bits; a bucket is a range that whole contexts (all but the low 8 bits) lie in."""
+    least = np.array([((i << (width - 8)) // buckets) << 8 for i in range(buckets)], U64)
+    ends = np.searchsorted(keys, least)
+    for i, (x, y) in enumerate(zip(ends, [*ends[1:], len(keys)], strict=True)):
+        if y > x:
+            yield i, slice(x, y)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, part = TaskContext.get().partitionId(), 0
-        ids, held, n_tok, texts, lens, toks, docs = [], [], [], [], [], [], []
-        size = n_docs = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            key = (task << 24) + part
-            held_all, off = np.concatenate(held, axis=1), np.r_[0, np.cumsum(np.concatenate(lens))]
-            data = np.concatenate(texts)
-            h, d = np.concatenate(toks), np.concatenate(docs)
-            bucket = (h >> U64(40)) % U64(buckets)
-            order = np.lexsort((d, h, bucket))
-            h, d, bucket = h[order], d[order], bucket[order]
-            at = group_starts(h, d)
-            tf = np.diff(np.r_[at, len(h)])
-            h, d, bucket = h[at], d[at], bucket[at]
-            token = group_starts(h)
-            train = np.add.reduceat(np.where(held_all[1][d], 0, tf), token)
-            n_post = np.diff(np.r_[token, len(h)])
-            ends = np.searchsorted(bucket, np.arange(buckets + 1).astype(U64))
-            tends = np.searchsorted(token, ends)
-            rows = [(-1 - key % buckets, key, np.concatenate(ids).astype("<i8").tobytes(), np.array([*held_all, np.concatenate(n_tok), np.diff(off)], "<i8").tobytes(), zlib.compress(data.tobytes(), 1))]
-            for i in range(buckets):
-                x, y = tends[i], tends[i + 1]
-                if y > x:
-                    p = slice(ends[i], ends[i + 1])
-                    rows.append((i, key, h[token[x:y]].astype("<u8").tobytes(), _packed(train[x:y], n_post[x:y]), _packed(d[p], tf[p])))
-            keys, numbers = encoded(data, off)
-            counted = np.flatnonzero(np.repeat(held_all[1] == 0, np.diff(off) + 1))
-            count = np.zeros(len(keys), np.int64)
-            for x in numbers:
-                count += np.bincount(x[counted], minlength=len(keys))
-            order, ends = bucketed(keys, buckets)
-            keys, count = keys[order], count[order].astype("<u4")
-            for i in range(buckets):
-                if ends[i + 1] > ends[i]:
-                    p = slice(ends[i], ends[i + 1])
-                    rows.append((buckets + i, key, _planes(keys[p]), _planes(count[p]), None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
-        for b in batches:
-            own = b.column(0).cast(pa.int64())
-            out_of = held_out(own)
-            plain = own.fill_null(0).to_numpy(zero_copy_only=False)
-            valid = own.is_valid().to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in chunks(b.column(1), 1 << 17):
-                w = Words(data, off, NOT_SPACE, lower=True)
-                m = hi - lo
-                ids.append(plain[lo:hi])
-                held.append(np.stack([valid[lo:hi], out_of[lo:hi]]))
-                n_tok.append(np.diff(w.first) + 1)
-                texts.append(np.array(data))
-                lens.append(np.diff(off))
-                toks += [w.hash, np.full(m, _END_TOKEN)]
-                docs += [w.doc + n_docs, np.arange(m) + n_docs]
-                n_docs += m
-                size += len(data) + m
-                if size > flush:
-                    yield from out()
-                    ids, held, n_tok, texts, lens, toks, docs = [], [], [], [], [], [], []
-                    size = n_docs = 0
-                    part += 1
-        if n_docs:
-            yield from out()
+_ASKED = "bucket int, part bigint, a binary, b binary, c binary"
+_ANSWERED = "part bigint, kind int, bucket int, a binary, b binary, c binary, n bigint, v bigint"
 
-    return run
 
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-def _answers(buckets: int):
-    """Arrow function over rows sorted by bucket to (part, kind, a, b, c, n, v). Kind 0: the documents of a part as they came. Kind 1: for each part of a bucket its
-    documents' sums of log10(c + 1) and known tokens; n and v are the bucket's training tokens, all and distinct, once a bucket. Kind 2 + i: logits of the part's pairs in bucket i."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _answer_rows(batches, buckets)
+def _asked(bits: int, buckets: int, flush: int):
+    """Arrow function: (doc_id, text) to rows by task part. Of each kind (tokens, pairs, followers, in this order) ``buckets`` buckets get sorted numbers with their training counts; buckets below 0 get the documents as runs of units."""
+    names, types = ["bucket", "part", "a", "b", "c"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
-    return run
+    def rows(key: int, ids: np.ndarray, stats: np.ndarray, buf: np.ndarray, lens: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> Iterator[tuple]:
+        d = pa.array(hashes).dictionary_encode()
+        unit = d.indices.to_numpy(zero_copy_only=False)
+        lead = np.empty(len(d.dictionary), np.int64)
+        lead[unit[::-1]] = np.arange(len(unit))[::-1]  # the first of equal ones is written last
+        start, kept = (np.cumsum(lens) - lens)[lead], lens[lead]
+        data = buf[np.repeat(start - (np.cumsum(kept) - kept), kept) + np.arange(kept.sum())]
+        part = Part(data, kept, unit, first)
+        yield -1 - key % buckets, key, packed(np.c_[ids, stats, np.diff(first)].astype("<i8")), _joined(packed(data), packed(kept.astype("<u4"))), packed(unit.astype("<u4"))
+        pairs, followers = part.numbered(bits), part.followers(bits)
+        counts = part.counts(stats[:, 1] == 0, len(pairs), len(followers))
+        for kind, (keys, width, n) in enumerate(zip((part.token, pairs, followers), (64, bits + 8, bits), counts, strict=True)):
+            for i, x in _pieces(keys, width, buckets):
+                yield kind * buckets + i, key, _pairs_packed(keys[x]), packed(n[x].astype("<i8")), None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, part, size = TaskContext.get().partitionId(), 0, 0
+        held: list[list[np.ndarray]] = [[] for _ in range(6)]
 
-def _answer_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """See ``_answers``."""
-    now, held = None, []
-    names = ["part", "kind", "a", "b", "c", "n", "v"]
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        def out() -> pa.RecordBatch:
+            ids, stats, buf, lens, counts, hashes = (np.concatenate(x) for x in held)
+            return _batch(list(rows((task << 24) + part, ids, stats, buf, lens, np.r_[0, np.cumsum(counts)], hashes)), names, types)
 
-    def logits() -> Iterator[pa.RecordBatch]:
-        keys = [_rows_of(r[1], 8).view("<u8").reshape(-1) for r in held]
-        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(inverse, weights=np.concatenate([_rows_of(r[2], 4).view("<u4").reshape(-1) for r in held]).astype(float), minlength=len(every))
-        full, less, known = pair_logits(every, count)
-        lo = 0
-        for r, x in zip(held, keys, strict=True):
-            i = inverse[lo : lo + len(x)]
-            lo += len(x)
-            yield made([(r[0], 2 + now - buckets, _planes(full[i]), _planes(less[i]), _planes(known[i]), 0, 0)])
-
-    def out() -> Iterator[pa.RecordBatch]:
-        if now >= buckets:
-            yield from logits()
-            return
-        h = [np.frombuffer(r[1], "<u8") for r in held]
-        stats = [_unpacked(r[2]) for r in held]
-        kinds, inverse = np.unique(np.concatenate(h), return_inverse=True)
-        count = np.bincount(inverse, weights=np.concatenate([s[0] for s in stats]).astype(float), minlength=len(kinds))
-        rows, lo = [], 0
-        for i, (r, s) in enumerate(zip(held, stats, strict=True)):
-            c = count[inverse[lo : lo + s.shape[1]]]
-            lo += s.shape[1]
-            d, tf = _unpacked(r[3])
-            c = np.repeat(c, s[1])
-            who, at = np.unique(d, return_inverse=True)
-            sums = np.bincount(at, weights=tf * np.log10(c + 1), minlength=len(who))
-            known = np.bincount(at, weights=tf * (c > 0), minlength=len(who))
-            rows.append((r[0], 1, who.astype("<u4").tobytes(), sums.astype("<f8").tobytes(), known.astype("<u4").tobytes(), int(count.sum()) if i == 0 else 0, int((count > 0).sum()) if i == 0 else 0))
-        yield made(rows)
-
-    for b in batches:
-        for bucket, part, x, y, z in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-            if bucket < 0:
-                yield made([(part, 0, x, y, z, 0, 0)])
-                continue
-            if bucket != now:
-                if held:
-                    yield from out()
-                now, held = bucket, []
-            held.append((part, x, y, z))
-    if held:
-        yield from out()
+        for b in batches:
+            own = b.column(0).cast(pa.int64())
+            stats = np.stack([own.is_valid().to_numpy(zero_copy_only=False), held_out(own)], axis=1).astype(np.int64)
+            plain = own.fill_null(0).to_numpy(zero_copy_only=False)
+            for lo, hi, data, off in chunks(b.column(1), 1 << 18):
+                buf, lens, first = units(data, off)
+                for x, y in zip(held, (plain[lo:hi], np.c_[stats[lo:hi], np.diff(off)], buf, lens, np.diff(first), spans_hash(buf, lens)), strict=True):
+                    x.append(y)
+                size += len(buf)
+                if size > flush:
+                    yield out()
+                    held, size, part = [[] for _ in range(6)], 0, part + 1
+        if size:
+            yield out()
 
+    return run
 
-class Part:
-    """The documents of a part with the answers of all buckets."""
 
-    def __init__(self, ids: bytes, stats: bytes, text: bytes) -> None:
-        self.ids = np.frombuffer(ids, "<i8")
-        self.valid, self.held, self.tok, lens = np.frombuffer(stats, "<i8").reshape(4, -1)
-        self.data, self.off = np.frombuffer(zlib.decompress(text), np.uint8), np.r_[0, np.cumsum(lens)]
-        self.sums, self.n_known = np.zeros(len(lens)), np.zeros(len(lens))
-        self.blobs: list[tuple[int, bytes, bytes, bytes]] = []
+def _answered(buckets: int):
+    """Arrow function over rows sorted by bucket. Kind 0: the documents of a part as they came. Kinds 1 to 3, in the order of the numbers: training counts of a part's tokens in a bucket, codes of its pairs (see ``answers``), counts of its followers.
+    A bucket's training tokens, all and distinct, are rows of a part below 0."""
+    names = ["part", "kind", "bucket", "a", "b", "c", "n", "v"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
-    def add(self, kind: int, x: bytes, y: bytes, z: bytes) -> None:
+    def out(bucket: int, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        keys = [_pairs_of(x[1]) for x in held]
+        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.zeros(len(every), np.int64)
+        ends = np.r_[0, np.cumsum([len(x) for x in keys])]
+        for (_, _, n), lo, hi in zip(held, ends[:-1], ends[1:], strict=True):
+            count[inverse[lo:hi]] += unpacked(n, "<i8")  # a part's keys are distinct
+        kind = 1 + bucket // buckets
+        value = answers(every, count) if kind == 2 else count.astype("<i8")
+        made = [(x[0], kind, bucket % buckets, packed(value[inverse[lo:hi]]), None, None, None, None) for x, lo, hi in zip(held, ends[:-1], ends[1:], strict=True)]
         if kind == 1:
-            who = np.frombuffer(x, "<u4")
-            self.sums[who] += np.frombuffer(y, "<f8")
-            self.n_known[who] += np.frombuffer(z, "<u4")
-        else:
-            self.blobs.append((kind - 2, x, y, z))
-
-    def meet(self, buckets: int, learn: bool) -> Part:
-        """Number the pairs again and lay their logits out; to learn, those with the own occurrence taken out."""
-        keys, self.numbers = encoded(self.data, self.off)
-        order, ends = bucketed(keys, buckets)
-        table, self.known = np.zeros((len(keys), 8), np.int8), np.zeros(len(keys), np.int8)
-        for i, full, less, known in self.blobs:
-            at = order[ends[i] : ends[i + 1]]
-            table[at] = _rows_of(less if learn else full, 8).view(np.int8)
-            self.known[at] = _rows_of(known, 1)[:, 0]
-        self.blobs = []
-        self.full = self.less = table
-        return self
-
-    def gate(self, at: np.ndarray | slice) -> np.ndarray:
-        return self.known[self.numbers[_GATED[0]][at]] + 2 * self.known[self.numbers[_GATED[1]][at]]
-
-    def scores(self, weights: np.ndarray, piece: int = 1 << 17) -> np.ndarray:
-        """log10 probability of each document."""
-        w = weights / np.float32(16)  # logits are in sixteenths
-        out = np.zeros(len(self.ids))
-        for lo, hi in runs(self.off):
-            _, _, doc = padded(self.data[self.off[lo] : self.off[hi]], self.off[lo : hi + 1] - self.off[lo])
-            byte_at = self.off[lo : hi + 1] - self.off[lo] + np.arange(hi - lo + 1)
-            byte = np.insert(LOWER[self.data[self.off[lo] : self.off[hi]]], (self.off[lo + 1 : hi + 1] - self.off[lo]), _END)
-            first, state = self.off[lo] + lo, None
-            for i in range(0, len(doc), piece if hi - lo == 1 else len(doc)):
-                d = doc[i : i + piece] if hi - lo == 1 else doc
-                at = slice(first + i, first + i + len(d))
-                gate = self.gate(at)
-                z = np.zeros((len(d), 8), np.float32)
-                for k in range(K):
-                    z += self.full[self.numbers[k][at]] * w[k][gate]
-                got, state = refine(z, byte[i : i + len(d)].astype(np.int64), d, np.arange(i, i + len(d)) - byte_at[d], hi - lo, state)
-                out[lo:hi] += got
-        return out
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
-    """The parts of rows sorted by (part, kind)."""
-    now, held = None, None
-    for b in batches:
-        for part, kind, x, y, z in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-            if part != now:
-                if held is not None:
-                    yield held
-                now, held = part, Part(x, y, z)
-            else:
-                held.add(kind, x, y, z)
-    if held is not None:
-        yield held
-
-
-def _learned(buckets: int):
-    """Arrow function over rows sorted by (part, kind): places that taught, and weights times places, of a task."""
+            made.append((-1 - bucket, 0, None, None, None, None, int(count.sum()), int((count > 0).sum())))
+        return _batch(made, names, types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, np.zeros((K, _GATES, 8))
-        for part in _parts(batches):
-            w = start_weights()
-            m = learn_part(part.meet(buckets, True), w)
-            n += m
-            total += m * w.astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.astype("<f8").tobytes()], pa.binary())], ["n", "w"])
+        now, held = None, []
+        for b in batches:
+            for bucket, part, x, y, z in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                if bucket < 0:
+                    yield _batch([(part, 0, None, x, y, z, None, None)], names, types)
+                    continue
+                if bucket != now:
+                    if held:
+                        yield out(now, held)
+                    now, held = bucket, []
+                held.append((part, x, y))
+        if held:
+            yield out(now, held)
 
     return run
 
 
-def start_weights() -> np.ndarray:
-    return np.full((K, _GATES, 8), 0.3, np.float32)
+def _scored(bits: int):
+    """Arrow function over rows sorted by (part, kind, bucket): the documents of each part with their scores, and the buckets' tokens."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base", "score", "n", "v"]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
-
-def _doc_rows(buckets: int, n: int, v: int, weights: np.ndarray):
-    """Arrow function over rows sorted by (part, kind): the documents of each part, scored, with the base's sums of all buckets."""
+    def out(row: tuple[bytes, bytes, bytes], answers: tuple[list[bytes], list[bytes], list[bytes]]) -> pa.RecordBatch:
+        ids, valid, held, size, n_units = unpacked(row[0], "<i8", 5).T
+        at = 8 + int.from_bytes(row[1][:8], "little")
+        part = Part(unpacked(row[1][8:at], "u1"), unpacked(row[1][at:], "<u4").astype(np.int64), unpacked(row[2], "<u4").astype(np.int32), np.r_[0, np.cumsum(n_units)])
+        n_pairs, n_followers = len(part.numbered(bits)), len(part.followers(bits))
+        tokens, codes, followers = (np.concatenate([unpacked(x, kind, width) for x in blobs]) for blobs, (kind, width) in zip(answers, (("<i8", 1), ("u1", _CODES), ("<i8", 1)), strict=True))
+        if (len(tokens), len(codes), len(followers)) != (len(part.token), n_pairs, n_followers):
+            raise ValueError("a part has not met all its answers")
+        n_tokens, known, base = part.base(tokens)
+        none = pa.nulls(len(ids), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(held > 0), pa.array(n_tokens), pa.array(known), pa.array(size), pa.array(base), pa.array(part.scores(codes, followers, tokens)), none, none], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        level = np.log10(n + v + 1)
-        for p in _parts(batches):
-            score = p.meet(buckets, False).scores(weights)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(p.ids, mask=p.valid == 0), pa.array(p.held > 0), pa.array(p.tok), pa.array(p.n_known.astype(np.int64)), pa.array(np.full(len(p.ids), n)), pa.array(p.sums - p.tok * level), pa.array(score)], names
-            )
+        now, row, answers = None, None, ([], [], [])
+        for b in batches:
+            for part, kind, x, y, z, n, v in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "a", "b", "c", "n", "v")), strict=True):
+                if part < 0:
+                    yield _batch([(None, None, None, None, None, None, None, n, v)], names, types)
+                elif part != now:
+                    if row is not None:
+                        yield out(row, answers)
+                    now, row, answers = part, (x, y, z), ([], [], [])
+                else:
+                    answers[kind - 1].append(x)
+        if row is not None:
+            yield out(row, answers)
 
     return run
 
 
-def lm_scores(docs: DataFrame, flush: int = 8_000_000) -> DataFrame:
-    """Return (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs`` (doc_id bigint, text).
+def lm_scores(docs: DataFrame, flush: int | None = None, bucket_bytes: int = 8_000_000) -> DataFrame:
+    """Return (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of ``docs`` (doc_id bigint, text).
 
-    Trains on the rows that aren't held out: counts and mixing weights come from all training texts, whole. ``flush`` is the bytes of a part. Null text is
+    Trains on the rows that aren't held out: all their texts, whole, give counts. ``flush`` is the bytes of a part (14 MB, more from 57 GB of text on, 64 MB at most), ``bucket_bytes`` the text for which there is
+    a bucket; neither changes a result. bits_per_byte counts the bits of the end, too, and is null for empty texts. Null text is
     empty: one token, the end. Rows are scored one by one, repeated or with null doc_id as well. Other columns are
     ignored. Without documents there are no rows; without training documents the model is uniform and c, N and V are 0.
     """
+    docs = docs.select("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    flush = flush or min(64_000_000, max(14_000_000, size // 4096))
+    buckets = max(1, -(-size // bucket_bytes))
+    bits = min(55, max(24, math.ceil(math.log2(size + 1)) + 8))
     # parts take the room that large Arrow batches would
     with batches_of(docs.sparkSession, 500):
-        return _lm_scores(docs, flush)
-
-
-def _lm_scores(docs: DataFrame, flush: int) -> DataFrame:
-    """See ``lm_scores``."""
-    spark = docs.sparkSession
-    # a bucket's arrays are in memory at once
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = docs.select("doc_id", "text").mapInArrow(_requests(buckets, flush), "bucket int, part bigint, a binary, b binary, c binary").repartition("bucket").sortWithinPartitions("bucket", "part")
-    both = store(asked.mapInArrow(_answers(buckets), "part bigint, kind int, a binary, b binary, c binary, n bigint, v bigint"))
-    n, v = both.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    met = both.drop("n", "v").repartition("part").sortWithinPartitions("part", "kind")
-    places, weights = 0, np.zeros((K, _GATES, 8))
-    for m, w in met.mapInArrow(_learned(buckets), "n bigint, w binary").toLocalIterator():  # a row a task
-        places += m
-        weights += np.frombuffer(w, "<f8").reshape(weights.shape)
-    weights = (weights / places).astype(np.float32) if places else start_weights()
-    return met.mapInArrow(_doc_rows(buckets, n, v, weights), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        asked = docs.mapInArrow(_asked(bits, buckets, flush), _ASKED).repartition("bucket").sortWithinPartitions("bucket", "part")
+        met = asked.mapInArrow(_answered(buckets), _ANSWERED).repartition("part").sortWithinPartitions("part", "kind", "bucket")
+        rows = store(met.mapInArrow(_scored(bits), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, n_bytes bigint, base double, score double, n bigint, v bigint"))
+    n, v = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
+    per_byte = F.col("score") * F.lit(-math.log2(10)) / F.when(F.col("n_bytes") > 0, F.col("n_bytes"))
+    return rows.filter("n is null").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", per_byte.alias("bits_per_byte"))
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
