@@ -14,7 +14,6 @@ from lexforge.llm import op3_substrings as op3
 from lexforge.llm import op4_mix as op4
 from lexforge.llm import op5_quality as op5
 from lexforge.llm import op6_minhash as op6
-from lexforge.llm import op7_lm as op7
 from lexforge.llm import op8_lines as op8
 from lexforge.llm import op9_secrets as op9
 from lexforge.llm import op10_toxicity as op10
@@ -211,95 +210,6 @@ def test_op6_components(spark):
     assert got == {k: v for k, v in label.items() if k != v}
 
 
-def test_op7_base_and_probability(spark):
-    import zlib
-
-    texts = [*odd_texts(), *[f"the cat number {i} sat on the mat and the dog ran" for i in range(40)]]
-    docs = docs_of(spark, texts)
-    rows = {r["doc_id"]: r for r in op7.lm_scores(docs, flush=5000).collect()}
-    out = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 == 2}
-    tokens = [[*re.findall(SPACE, (t or "").translate(LOWER)), None] for t in texts]
-    c = Counter(x for i, t in enumerate(tokens) if i not in out for x in t)
-    n, v = sum(c.values()), len(c)
-    for i, t in enumerate(tokens):
-        r = rows[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i in out, len(t), sum(c[x] > 0 for x in t), n)
-        assert math.isclose(r["base_score"], sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), rel_tol=1e-9)
-        assert r["score"] < 0
-    # the probabilities of all next symbols sum to 1
-    model = op7.Model([np.random.default_rng(0).integers(0, 5, (1 << b, 16)).astype(np.uint32) for _, b in op7.CONTEXTS], np.full((op7.K, 4, 8), 0.3, np.float32))
-    history = np.frombuffer(b"\0\0\0\0\0\0the c", np.uint8)
-    total = 0.0
-    for byte in range(256):
-        buf = np.r_[history, np.uint8(byte)]
-        z = model.mixed(op7.slots(buf, np.array([len(buf) - 1])))
-        total += float(np.prod(1 / (1 + np.exp(-z.astype(float)))))
-    assert math.isclose(total, 1, rel_tol=1e-4)
-    assert op7.lm_scores(docs_of(spark, [])).count() == 0
-
-
-def test_op7_pieces_score_alike():
-    from lexforge.llm.op7_lm import score_texts
-
-    model = op7.Model([np.random.default_rng(0).integers(0, 5, (1 << b, 16)).astype(np.uint32) for _, b in op7.CONTEXTS], np.full((op7.K, 4, 8), 0.3, np.float32))
-    data = np.frombuffer(("some words of a longer text " * 200).encode(), np.uint8)
-    off = np.array([0, len(data)])
-    assert math.isclose(score_texts(model, data, off)[0], score_texts(model, data, off, piece=1024)[0], rel_tol=1e-5)
-
-
-def test_op7_counts_by_whole_context():
-    rng = np.random.default_rng(5)
-    texts = [rng.integers(97, 123, 300_000, dtype=np.uint8).tobytes() for _ in range(2)] + [b"short words " * 30, b""]
-    off = np.r_[0, np.cumsum([len(t) for t in texts])]
-    keys, numbers = op7.encoded(np.frombuffer(b"".join(texts), np.uint8), off)
-    want = Counter()
-    for t in texts:
-        t += b"\xff"
-        want.update((t[max(0, i - 6) : i], t[i]) for i in range(len(t)))
-    six = [int(x) for x in np.bincount(numbers[2], minlength=len(keys)) if x]
-    # more contexts of six bytes than 2**19, and none of them shares a count
-    assert len({c for c, _ in want}) > 1 << 19 and len(np.unique(keys)) == len(keys)
-    assert len(np.unique(numbers[2])) == len(want) and sorted(np.bincount(numbers[2])[np.unique(numbers[2])].tolist()) == sorted(want.values()) and sum(six) > 0
-    # logits against plain sums over the bytes of a context
-    few = {(c, y): n for c in (1, 2) for y, n in zip(rng.choice(256, 9, replace=False).tolist(), [0, 0, 1, 1, 2, 3, 9, 30, 200], strict=True)}
-    at = sorted(few)
-    full, less, known = op7.pair_logits(np.array([c << 8 | y for c, y in at], np.uint64), np.array([few[x] for x in at]))
-    for i, (c, y) in enumerate(at):
-        for b in range(8):
-            inside = {z: n for (d, z), n in few.items() if d == c and z >> (8 - b) == y >> (8 - b)}
-            own = sum(n for z, n in inside.items() if z >> (7 - b) == y >> (7 - b))
-            other = sum(inside.values()) - own
-            for got, o in ((full, own), (less, max(own - 1, 0))):
-                assert abs(int(got[i, b]) - max(-127, min(127, 16 * math.log((o + op7.PRIOR) / (other + op7.PRIOR))))) <= 0.51
-        assert known[i]
-
-
-def test_op7_long_texts_teach(spark):
-    import zlib
-
-    rng = random.Random(3)
-    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 9))) for _ in range(300)]
-    texts = [" ".join(rng.choice(words) for _ in range(2500)) for _ in range(24)]  # all above 8,000 bytes
-    data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
-    held = np.array([zlib.crc32(str(i).encode()) % 7 == 2 for i in range(24)])
-    assert min(len(t) for t in texts) > 8000 and held.any()
-    keys, numbers = op7.encoded(data, off)
-    train = np.repeat(~held, np.diff(off) + 1)
-    order = np.argsort(keys)
-    count = sum(np.bincount(x[train], minlength=len(keys)) for x in numbers)[order]
-    part = op7.Part(np.arange(24).astype("<i8").tobytes(), np.array([np.ones(24), held, np.ones(24), np.diff(off)], "<i8").tobytes(), zlib.compress(data.tobytes()))
-    part.numbers, part.full, part.less, part.known = numbers, np.zeros((len(keys), 8), np.int8), np.zeros((len(keys), 8), np.int8), np.zeros(len(keys), np.int8)
-    part.full[order], part.less[order], part.known[order] = op7.pair_logits(keys[order], count)
-    start = part.scores(op7.start_weights())
-    w = op7.start_weights()
-    assert op7.learn_part(part, w) == train.sum()
-    got = {r["doc_id"]: r["score"] for r in op7.lm_scores(docs_of(spark, texts)).collect()}
-    assert all(got[i] > start[i] for i in np.flatnonzero(held))
-    # one part of all: the weights are its own
-    one = {r["doc_id"]: r["score"] for r in op7.lm_scores(docs_of(spark, texts).coalesce(1)).collect()}
-    assert np.allclose([one[i] for i in range(24)], part.scores(w), rtol=1e-6)
-
-
 def test_op8_templates(spark):
     rng = random.Random(4)
     prose = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(12))
