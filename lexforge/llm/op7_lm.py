@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,33 +106,38 @@ class Part:
         """Values of documents to their units."""
         return np.repeat(x, np.diff(self.first))
 
-    def contexts(self, bits: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """For each kind (places, pairs): places in ``data``, and context and byte in one word."""
+    def contexts(self, bits: int) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray]]:
+        """For each kind: places in ``data``, and context and byte in one word."""
         d, at = self.data, self.at
         byte = d.astype(U64)
-        room = U64(64 - bits)
-        named = lambda v, kind, b: ((mix(v ^ _SALT[kind]) >> room) << U64(8)) | b
-        out = {}
+        named = lambda v, kind, b: ((mix(v ^ _SALT[kind]) >> U64(64 - bits)) << U64(8)) | b
         v = np.zeros(len(d), U64)
         v[1:] = np.where(at[1:] > 0, byte[:-1] + U64(1), U64(0))
         v[2:] |= np.where(at[2:] > 1, byte[:-2] + U64(1), U64(0)) << U64(9)
-        out[TWO] = (np.arange(len(d)), named(v, TWO, byte))
-        i = np.flatnonzero(at >= _FROM[FOUR])
+        yield TWO, slice(None), named(v, TWO, byte)
+        i = np.flatnonzero(at >= _FROM[FOUR]).astype(np.int32)
         v = byte[i - 1] | byte[i - 2] << U64(8) | byte[i - 3] << U64(16) | byte[i - 4] << U64(24)
-        out[FOUR] = (i, named(v, FOUR, byte[i]))
-        i = np.flatnonzero(at >= _FROM[PREFIX])
-        sums = np.r_[U64(0), np.cumsum(_BYTE[d] * _POW.upto(int(at.max(initial=0)) + 1)[at])]
-        out[PREFIX] = (i, named(sums[i] - sums[self.off[self.kind_of[i]]], PREFIX, byte[i]))
-        return out
+        yield FOUR, i, named(v, FOUR, byte[i])
+        i = np.flatnonzero(at >= _FROM[PREFIX]).astype(np.int32)
+        v = np.zeros(len(d) + 1, U64)
+        np.cumsum(_BYTE[d] * _POW.upto(int(at.max(initial=0)) + 1)[at], out=v[1:])
+        v = v[i] - v[self.off[self.kind_of[i]]]
+        yield PREFIX, i, named(v, PREFIX, byte[i])
 
     def numbered(self, bits: int) -> np.ndarray:
         """Sorted distinct pairs; ``number`` gets the number of the pair at each byte of ``data`` for each kind, -1 where it doesn't speak."""
-        found = self.contexts(bits)
-        keys, numbers = _distinct([pair for _, pair in found.values()])
+        places: list[tuple[int, np.ndarray | slice]] = []
+
+        def pairs() -> Iterator[np.ndarray]:
+            for kind, place, pair in self.contexts(bits):
+                places.append((kind, place))
+                yield pair
+
+        keys, numbers = _distinct(pairs())
         self.number = {}
-        for (kind, (place, _)), n in zip(found.items(), numbers, strict=True):
+        for kind, place in places:
             self.number[kind] = np.full(len(self.data), -1, np.int32)
-            self.number[kind][place] = n
+            self.number[kind][place] = numbers.pop(0)
         return keys
 
     def counts(self, train: np.ndarray, n_pairs: int, n_followers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,13 +164,19 @@ class Part:
     def bit_costs(self, codes: np.ndarray) -> np.ndarray:
         """Nats of each distinct unit by its bits, under each gate; ``codes`` are the answers to the numbered pairs."""
         logit, seen = logits(codes)
-        inside = np.empty((len(self.data), len(GATES)), np.float32)
-        for ks, lo, hi in (((TWO,), 0, 3), ((PREFIX, TWO), 3, 5), ((PREFIX, FOUR, TWO), 5, None)):
-            i = np.flatnonzero((self.at >= lo) & (self.at < hi)) if hi else np.flatnonzero(self.at >= lo)
+        # one pair tells all that stands before a byte: of the last two up to the third byte, of the unit so far from there on
+        told = np.where(self.at < _FROM[PREFIX], self.number[TWO], self.number[PREFIX])
+        lead = np.full(len(codes), -1, np.int32)
+        lead[told] = np.arange(len(told), dtype=np.int32)
+        lead = lead[lead >= 0]
+        each = np.zeros((len(codes), len(GATES)), np.float32)
+        for ks, lo, hi in (((TWO,), 0, 3), ((PREFIX, TWO), 3, 5), ((PREFIX, FOUR, TWO), 5, 1 << 31)):
+            i = lead[(self.at[lead] >= lo) & (self.at[lead] < hi)]
             for a in range(0, len(i), 8192):
                 p = i[a : a + 8192]
-                inside[p] = cost([self.number[k][p] for k in ks], logit, seen)
-        return np.add.reduceat(inside, self.off, axis=0, dtype=np.float64)
+                each[told[p]] = cost([self.number[k][p] for k in ks], logit, seen)
+        del logit, seen
+        return np.stack([np.add.reduceat(each[told, g].astype(np.float64), self.off) for g in range(len(GATES))], axis=1)
 
     def scores(self, codes: np.ndarray, followers: np.ndarray, tokens: np.ndarray, run: int = 1 << 18) -> np.ndarray:
         """log10 probability of each document by the answers to its pairs, followers and tokens; documents of some ``run`` units at a time."""
@@ -196,7 +207,7 @@ class Part:
         return -out / np.log(10)
 
 
-def _distinct(arrays: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+def _distinct(arrays: Iterable[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """(sorted distinct values of all arrays, for each array their numbers); equal values of two arrays, which hashes have by chance only, are two."""
     keys, numbers, n = [], [], 0
     for x in arrays:
@@ -213,8 +224,8 @@ def _distinct(arrays: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
 
 # ---------------------------------------------------------------- counts as codes
 
-_EXACT, _STEPS = 32, 6
-#: Count that a code stands for: whole up to 32, from there six steps an octave.
+_EXACT, _STEPS = 16, 3
+#: Count that a code stands for: whole up to 16, from there three steps an octave.
 VALUES = np.r_[np.arange(_EXACT + 1), _EXACT * 2.0 ** (np.arange(1, 256 - _EXACT) / _STEPS)]
 
 
@@ -226,29 +237,32 @@ def quantised(count: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Codes of a pair: nine of what stands before its bits (all but the last as steps to the next), and eight of the other bits there.
-_CODES = 17
+#: Codes of a pair: eight of how often its bits so far occurred (all but the last as steps to the next), and eight of the other bits there.
+_CODES = 16
 
 
 def answers(keys: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Codes of sorted distinct pairs, which hold all the bytes of their contexts: how often the byte's first 0, 1, ... 8 bits occurred, and how often another bit than the first, ... eighth did after the same bits."""
+    """Codes of sorted distinct pairs, which hold all the bytes of their contexts: how often the byte's first 1, ... 8 bits occurred, and how often another bit than the first, ... eighth did after the same bits."""
     sums = []
     for j in range(9):
         first = group_starts(keys >> U64(8 - j))
         sums.append(np.repeat(np.add.reduceat(count, first), np.diff(np.r_[first, len(keys)])) if len(keys) else count)
-    seen = [quantised(x) for x in sums]
-    return np.stack([*(seen[b] - seen[b + 1] for b in range(8)), seen[8], *(quantised(sums[b] - sums[b + 1]) for b in range(8))], axis=1)
+    own = [quantised(x) for x in sums[1:]]
+    return np.stack([*(own[b] - own[b + 1] for b in range(7)), own[7], *(quantised(sums[b] - sums[b + 1]) for b in range(8))], axis=1)
 
 
 def logits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(logits of the bits that are there, occurrences of what stands before them), by pair and bit; those of two bytes that differ in a bit are opposite there."""
+    """(logits of the bits that are there, occurrences of what stands before them), by pair and bit; those of two bytes that differ in a bit are opposite, and equal, there."""
     value = VALUES.astype(np.float32)
+    level = np.log(VALUES + PRIOR).astype(np.float32)
     logit, seen = np.empty((len(codes), 8), np.float32), np.empty((len(codes), 8), np.float32)
-    own = codes[:, 8]
+    own = codes[:, 7]
     for b in range(7, -1, -1):
-        logit[:, b] = np.log((value[own] + np.float32(PRIOR)) / (value[codes[:, 9 + b]] + np.float32(PRIOR)))
-        own = own + codes[:, b]  # modulo 256
-        seen[:, b] = value[own]
+        other = codes[:, 8 + b]
+        logit[:, b] = level[own] - level[other]
+        seen[:, b] = value[own] + value[other]
+        if b:
+            own = own + codes[:, b - 1]  # modulo 256
     return logit, seen
 
 
@@ -301,16 +315,19 @@ def held_out(ids: pa.Array) -> np.ndarray:
     return np.array([x is not None and zlib.crc32(str(x).encode()) % 7 == 2 for x in ids.to_pylist()], bool)
 
 
+_CODEC = pa.Codec("zstd", compression_level=3)
+
+
 def packed(x: np.ndarray) -> bytes:
     """Rows of numbers, byte by byte of all rows, compressed."""
     x = np.ascontiguousarray(x)
     raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def unpacked(blob: bytes, kind: str, width: int = 1) -> np.ndarray:
     size = int.from_bytes(blob[:8], "little")
-    raw = np.frombuffer(pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    raw = np.frombuffer(_CODEC.decompress(memoryview(blob)[8:], size, asbytes=True), np.uint8)
     rows = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize * width, -1).T)
     out = rows.view(kind)
     return out[:, 0] if width == 1 else out
@@ -355,6 +372,10 @@ def _asked(bits: int, buckets: int, flush: int):
         unit = d.indices.to_numpy(zero_copy_only=False)
         lead = np.empty(len(d.dictionary), np.int64)
         lead[unit[::-1]] = np.arange(len(unit))[::-1]  # the first of equal ones is written last
+        order = np.argsort(-np.bincount(unit), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        unit, lead = rank[unit], lead[order]
         start, kept = (np.cumsum(lens) - lens)[lead], lens[lead]
         data = buf[np.repeat(start - (np.cumsum(kept) - kept), kept) + np.arange(kept.sum())]
         part = Part(data, kept, unit, first)
@@ -467,14 +488,14 @@ def _scored(bits: int):
 def lm_scores(docs: DataFrame, flush: int | None = None, bucket_bytes: int = 8_000_000) -> DataFrame:
     """Return (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of ``docs`` (doc_id bigint, text).
 
-    Trains on the rows that aren't held out: all their texts, whole, give counts. ``flush`` is the bytes of a part (14 MB, more from 57 GB of text on, 64 MB at most), ``bucket_bytes`` the text for which there is
+    Trains on the rows that aren't held out: all their texts, whole, give counts. ``flush`` is the bytes of a part (10 MB, more from 41 GB of text on, 64 MB at most), ``bucket_bytes`` the text for which there is
     a bucket; neither changes a result. bits_per_byte counts the bits of the end, too, and is null for empty texts. Null text is
     empty: one token, the end. Rows are scored one by one, repeated or with null doc_id as well. Other columns are
     ignored. Without documents there are no rows; without training documents the model is uniform and c, N and V are 0.
     """
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    flush = flush or min(64_000_000, max(14_000_000, size // 4096))
+    flush = flush or min(64_000_000, max(10_000_000, size // 4096))
     buckets = max(1, -(-size // bucket_bytes))
     bits = min(55, max(24, math.ceil(math.log2(size + 1)) + 8))
     # parts take the room that large Arrow batches would
