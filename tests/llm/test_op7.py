@@ -62,7 +62,8 @@ class Plain:
         for b in range(8):
             before = {z: n for z, n in counts.items() if z >> (8 - b) == y >> (8 - b)}
             own = sum(n for z, n in before.items() if z >> (7 - b) == y >> (7 - b))
-            out.append((math.log((value(own) + op7.PRIOR) / (value(sum(before.values()) - own) + op7.PRIOR)), value(sum(before.values()))))
+            own, other = value(own), value(sum(before.values()) - own)
+            out.append((math.log((own + op7.PRIOR) / (other + op7.PRIOR)), own + other))
         return out
 
     def byte(self, u, j, gate, y=None):
@@ -140,15 +141,15 @@ def test_every_text_counts(spark):
 
 
 def test_counts_as_codes():
-    n = np.array([*range(33), 100, 1000, 10**6, 10**9, 10**12])
+    n = np.array([*range(17), 100, 1000, 10**6, 10**9, 10**15])
     got = op7.VALUES[op7.quantised(n)]
-    assert (got[:33] == n[:33]).all() and (np.abs(np.log(got[33:] / n[33:])) < 0.06).all()
+    assert (got[:17] == n[:17]).all() and (np.abs(np.log(got[17:] / n[17:])) < 0.12).all()
     assert len(op7.VALUES) == 256 and (np.diff(op7.VALUES) > 0).all()
 
 
 @pytest.mark.parametrize("width", [1, 9])
 def test_packed(width):
-    x = np.random.default_rng(1).integers(0, 255, (1000, width)).astype(np.uint8)
+    x = np.random.default_rng(1).integers(0, 256, (1000, width)).astype(np.uint8)
     assert (op7.unpacked(op7.packed(x), "u1", width).reshape(x.shape) == x).all()
     keys = np.sort(np.random.default_rng(2).integers(0, 2**63, 500).astype(np.uint64))
     assert (op7._pairs_of(op7._pairs_packed(keys)) == keys).all()
