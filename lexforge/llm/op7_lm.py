@@ -9,7 +9,7 @@ What the bits say of a whole unit is then refined by how often it followed the w
 ``MIXERS`` are several tau and kappa; a document is coded by all of them, and the weights among them are updated online, after each block
 of the document, by how well they coded it. All predictions depend on what stands before only, so the score is the log10 probability of the text.
 
-Counts are kept by hashes of the whole contexts, whose bits follow the size of the corpus (256 slots for each of its bytes), so they grow with it. Contexts lie inside units,
+Counts are kept by hashes of the whole contexts, whose bits follow the size of the corpus (64 slots for each of its bytes), so they grow with it. Contexts lie inside units,
 so a task settles most of its work once for each distinct unit of a part of its documents. It sends the part's distinct (context, byte) pairs, (word, unit) pairs and tokens to
 buckets with their training counts; a bucket sums the counts of all parts and answers each part; the part meets its answers and is scored. Buckets are
 ranges of hashes, and their number follows the size of the corpus, so that no task grows with it.
@@ -488,16 +488,16 @@ def _scored(bits: int):
 def lm_scores(docs: DataFrame, flush: int | None = None, bucket_bytes: int = 8_000_000) -> DataFrame:
     """Return (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of ``docs`` (doc_id bigint, text).
 
-    Trains on the rows that aren't held out: all their texts, whole, give counts. ``flush`` is the bytes of a part (10 MB, more from 41 GB of text on, 64 MB at most), ``bucket_bytes`` the text for which there is
+    Trains on the rows that aren't held out: all their texts, whole, give counts. ``flush`` is the bytes of a part (14 MB, more from 57 GB of text on, 64 MB at most), ``bucket_bytes`` the text for which there is
     a bucket; neither changes a result. bits_per_byte counts the bits of the end, too, and is null for empty texts. Null text is
     empty: one token, the end. Rows are scored one by one, repeated or with null doc_id as well. Other columns are
     ignored. Without documents there are no rows; without training documents the model is uniform and c, N and V are 0.
     """
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    flush = flush or min(64_000_000, max(10_000_000, size // 4096))
+    flush = flush or min(64_000_000, max(14_000_000, size // 4096))
     buckets = max(1, -(-size // bucket_bytes))
-    bits = min(55, max(24, math.ceil(math.log2(size + 1)) + 8))
+    bits = min(55, max(24, math.ceil(math.log2(size + 1)) + 6))
     # parts take the room that large Arrow batches would
     with batches_of(docs.sparkSession, 500):
         asked = docs.mapInArrow(_asked(bits, buckets, flush), _ASKED).repartition("bucket").sortWithinPartitions("bucket", "part")
