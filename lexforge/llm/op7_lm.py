@@ -67,7 +67,7 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     buf = np.insert(data, np.r_[np.flatnonzero(closes), last, off[1:]], np.repeat(np.array([_CLOSE, _END], np.uint8), [int(closes.sum()) + len(last), m]))
     end = np.flatnonzero(buf >= _CLOSE) + 1
     stop = buf[end - 1] == _END
-    return buf, np.diff(end, prepend=0), np.r_[0, np.flatnonzero(stop) + 1]
+    return buf, np.diff(end, prepend=0).astype(np.int32), np.r_[0, np.flatnonzero(stop) + 1]
 
 
 class Part:
@@ -75,7 +75,7 @@ class Part:
 
     def __init__(self, data: np.ndarray, lens: np.ndarray, unit: np.ndarray, first: np.ndarray) -> None:
         self.data, self.lens, self.unit, self.first = data, lens, unit, first
-        self.off = np.cumsum(lens) - lens
+        self.off = np.cumsum(lens, dtype=np.int64) - lens
         self.kind_of = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
         self.at = np.arange(len(data), dtype=np.int32) - self.off.astype(np.int32)[self.kind_of]
         self.hash = spans_hash(data, lens)
@@ -376,8 +376,9 @@ def _asked(bits: int, buckets: int, flush: int):
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         unit, lead = rank[unit], lead[order]
-        start, kept = (np.cumsum(lens) - lens)[lead], lens[lead]
-        data = buf[np.repeat(start - (np.cumsum(kept) - kept), kept) + np.arange(kept.sum())]
+        start, kept = (np.cumsum(lens, dtype=np.int64) - lens)[lead], lens[lead]
+        shift = start - (np.cumsum(kept, dtype=np.int64) - kept)
+        data = buf[np.repeat(shift, kept) + np.arange(int(kept.sum()))]
         part = Part(data, kept, unit, first)
         yield -1 - key % buckets, key, packed(np.c_[ids, stats, np.diff(first)].astype("<i8")), _joined(packed(data), packed(kept.astype("<u4"))), packed(unit.astype("<u4"))
         pairs, followers = part.numbered(bits), part.followers(bits)
@@ -391,7 +392,12 @@ def _asked(bits: int, buckets: int, flush: int):
         held: list[list[np.ndarray]] = [[] for _ in range(6)]
 
         def out() -> pa.RecordBatch:
-            ids, stats, buf, lens, counts, hashes = (np.concatenate(x) for x in held)
+            joined = []
+            for x in held:  # the pieces go as they are joined
+                joined.append(np.concatenate(x))
+                x.clear()
+            ids, stats, buf, lens, counts, hashes = joined
+            del joined
             return _batch(list(rows((task << 24) + part, ids, stats, buf, lens, np.r_[0, np.cumsum(counts)], hashes)), names, types)
 
         for b in batches:
@@ -405,7 +411,7 @@ def _asked(bits: int, buckets: int, flush: int):
                 size += len(buf)
                 if size > flush:
                     yield out()
-                    held, size, part = [[] for _ in range(6)], 0, part + 1
+                    size, part = 0, part + 1
         if size:
             yield out()
 
@@ -501,7 +507,9 @@ def lm_scores(docs: DataFrame, flush: int | None = None, bucket_bytes: int = 8_0
     # parts take the room that large Arrow batches would
     with batches_of(docs.sparkSession, 500):
         asked = docs.mapInArrow(_asked(bits, buckets, flush), _ASKED).repartition("bucket").sortWithinPartitions("bucket", "part")
-        met = asked.mapInArrow(_answered(buckets), _ANSWERED).repartition("part").sortWithinPartitions("part", "kind", "bucket")
+        # more partitions than parts, so that few hold more than one
+        n_parts = min(200_000, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * -(-size // flush)))
+        met = asked.mapInArrow(_answered(buckets), _ANSWERED).repartition(n_parts, "part").sortWithinPartitions("part", "kind", "bucket")
         rows = store(met.mapInArrow(_scored(bits), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, n_bytes bigint, base double, score double, n bigint, v bigint"))
     n, v = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
