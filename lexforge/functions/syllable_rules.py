@@ -17,8 +17,13 @@ ANUSVARA, DOT, VISARGA = "ံ", "့", "း"
 #: Rows of consonants; a stacked pair comes from one row, or is one of the extra pairs.
 VARGA = ("ကခဂဃင", "စဆဇဈဉည", "ဋဌဍဎဏ", "တထဒဓန", "ပဖဗဘမ")
 EXTRA_STACKS = ("လလ", "သသ", "ဿ")
-#: Consonants that take each medial.
-TAKES = {"ျ": "ကခဂဃစဆတပဖဗဘမလသ", "ြ": "ကခဂဃငစဆညတထဒဓပဖဗဘမသဟ", "ွ": "ကခဂဃငစဆဇညဋတထဒဓနပဖဗဘမယရလသဟဠအ", "ှ": "ငညနမယရလဝဠ"}
+# Consonants that take each medial.
+TAKES = {
+    "ျ": "ကခဂဃငစဆဇဈဋဌဍဎဏပဖဗဘမလသ",
+    "ြ": "ကခဂဃငဋဌဍဎဏပဖဗဘမလ",
+    "ွ": "ကခဂဃငစဆဇဈဉညဋဌဍဎဏတထဒဓနပဖဗဘမယရလဝသဟဠအ",
+    "ှ": "ငဉညနမယရလဝဠ",
+}
 
 #: name: pattern of what is wrong.
 PATTERNS = {

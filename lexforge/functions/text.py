@@ -111,17 +111,9 @@ def strip_punctuation(text: Column) -> Column:
 
 
 def syllables(text: Column) -> Column:
-    """Syllables; runs outside of the script are one part each. Kinzi codas join what follows."""
-    start = f"(?<!(?<!{ASAT}){VIRAMA})[{CONSONANTS}](?!{ASAT})|[{STARTERS}]|[^က-၏]+"
-    parts = F.filter(F.split(F.regexp_replace(text, f"({start})", "￿$1"), "￿"), lambda x: x != "")
-    return F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda out, x: F.when(
-            (F.size(out) > 0) & F.element_at(out, -1).endswith(KINZI),
-            F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(F.element_at(out, -1), x))),
-        ).otherwise(F.concat(out, F.array(x))),
-    )
+    """Syllables; runs outside of the script are one part each. Nothing is cut behind a kinzi, so it joins what follows."""
+    start = f"(?<!(?<!{ASAT}){VIRAMA})[{CONSONANTS}](?!{ASAT})|[{STARTERS}]|(?<![^က-၏])[^က-၏]+"
+    return F.filter(F.split(F.regexp_replace(text, f"(?<!{KINZI})({start})", "￿$1"), "￿"), lambda x: x != "")
 
 
 def sentences(text: Column) -> Column:
@@ -152,10 +144,24 @@ def phonetic_code(text: Column, length: int = 10, per_unit: int = 6) -> Column:
 
 
 def phonetic_similarity(a: Column, b: Column) -> Column:
-    """1 for equal codes, else 1 - edits / longer number of codes (0 if either is empty)."""
-    x, y = F.split(a, "-"), F.split(b, "-")
-    same = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-    return F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(same.cast("double"))
+    """Of two codes: 1 for equal ones, else 1 - edits / the longer code (0 if either is empty)."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longer)
+
+
+def sound_similarity(a: Column, b: Column, same_code: float = 0.98, same_class: float = 0.85, gap: float = 0.2, most: float = 0.4, per: float = 20.0) -> Column:
+    """Likeness of two words by place: equal characters count 1, those of one class ``same_class``, over the longer word, less ``gap`` for the share that only one has;
+    blended with the likeness of their codes, the more (up to ``most``) the longer the first word is. Equal codes give ``same_code``; an empty word gives 0."""
+    table = F.create_map(*[F.lit(x) for code, chars in PHONETIC_CLASSES.items() for ch in chars for x in (ch, code)])
+    ca, cb = phonetic_code(a), phonetic_code(b)
+    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+    hit = lambda x, y: F.when(x == y, F.lit(1.0)).when(F.element_at(table, x) == F.element_at(table, y), F.lit(same_class)).otherwise(F.lit(0.0))
+    total = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), hit), F.lit(0.0), lambda s, x: s + x)
+    own = F.greatest(total / longer - gap * (longer - shorter) / longer, F.lit(0.0))
+    weight = F.least(F.lit(most), F.length(a) / per)
+    code = 1 - F.levenshtein(ca, cb) / F.greatest(F.length(ca), F.length(cb))
+    mixed = F.when((ca == "") & (cb == ""), own).otherwise((1 - weight) * own + weight * code)
+    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).when((ca == cb) & (ca != ""), F.lit(same_code)).otherwise(mixed)
 
 
 # Families of confusable spellings, (type, from, to).

@@ -28,8 +28,8 @@ RAW = (
 NORMAL = (
     ("broken_stacking", f"[က-အ]{T.VIRAMA}[{VOWELS}]", None),
     ("vowel_after_asat", f"{T.ASAT}[{VOWELS}]", None),
-    ("missing_end", "(?<=[က-၏])$(?<!။)", T.SENTENCE_END),
-    ("punctuation", "[၊။]{2,}|\\s+[၊။]", None),
+    ("missing_end", r"(?<=[က-၏])(?<!။)\Z", T.SENTENCE_END),
+    ("punctuation", "[၊။]{2,}|[ \t\n\r]+[၊။]", None),
     ("latin_stop", "(?<=[က-၏])[.,]", T.SENTENCE_END),
 )
 

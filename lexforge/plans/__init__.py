@@ -1,5 +1,5 @@
 """Queries on the test tables."""
 
-from . import checks, corpus, myanmar
+from . import checks, corpus, myanmar, script
 
-MODULES = (corpus, checks, myanmar)
+MODULES = (corpus, checks, myanmar, script)

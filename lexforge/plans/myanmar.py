@@ -8,60 +8,6 @@ from ..functions import syllable_rules, text
 from ..operators import check, detect, enrich, ngrams, suggest, tags
 from .corpus import bigram_table, docs, word_table
 
-#: Fixed inputs of the fixtures.
-SAMPLES = (
-    "မြန်မာ", "ကျောင်းသား", "သင်္ဘော", "ဗုဒ္ဓ", "၁၂၃ ခု", "hello မြန်မာ", "ပွါး", "ပော်", "ကေါင်း", "ဥ်", "သူ၀ယ်သည်", "၁၀၀", "မ​ြန်", "မွျ", "နေ့", "ကာာ", "သူသည် စာဖတ်သည်။ သူ သွားသည်။",
-)
-
-
-def _samples(spark):
-    return spark.createDataFrame(list(enumerate(SAMPLES)), "id int, text string")
-
-
-def myanmar_syllables(spark, d):
-    return _samples(spark).select("id", F.array_join(text.syllables(F.col("text")), "|").alias("syllables"))
-
-
-def myanmar_normalize(spark, d):
-    return _samples(spark).select("id", text.normalize(F.col("text")).alias("normal"), text.for_lookup(F.col("text")).alias("lookup"), text.for_comparison(F.col("text")).alias("comparison"), text.for_ingestion(F.col("text")).alias("ingestion"))
-
-
-def myanmar_sentences(spark, d):
-    return _samples(spark).select("id", F.size(text.sentences(F.col("text"))).alias("n"))
-
-
-def phonetic_codes(spark, d):
-    code = text.phonetic_code(F.col("text"))
-    return _samples(spark).select("id", code.alias("code"), text.phonetic_similarity(code, text.phonetic_code(F.lit("မြန်မာ"))).alias("similarity"))
-
-
-def confusable_variants(spark, d):
-    return _samples(spark).select("id", F.inline(text.confusable_variants(F.col("text"))))
-
-
-def nasal_variants(spark, d):
-    return _samples(spark).select("id", F.explode(text.nasal_variants(F.col("text"))).alias("variant"))
-
-
-def syllable_validity(spark, d):
-    parts = _samples(spark).select(F.explode(text.syllables(F.col("text"))).alias("syllable")).distinct()
-    return parts.select("syllable", F.array_join(syllable_rules.violations(F.col("syllable")), ",").alias("broken"))
-
-
-def raw_detectors(spark, d):
-    return detect.by_patterns(_samples(spark), "id", "text").select("id", "error_type", "start", "end", "text")
-
-
-def normal_detectors(spark, d):
-    return detect.by_patterns(_samples(spark), "id", "text", detect.NORMAL).select("id", "error_type", "start", "end", "text")
-
-
-def typed_confusable_pairs(spark, d):
-    words = _samples(spark).select(F.explode(text.syllables(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("frequency"))
-    more = spark.createDataFrame([("ကာ", 60), ("ခာ", 90), ("တန်", 70), ("တမ်", 80), ("နေ", 55), ("နေ့", 50)], "word string, frequency bigint")
-    return enrich.typed_confusables(words.unionByName(more), text.confusable_variants)
-
-
 def _lexicon(spark, d):
     words = word_table(spark, d, 3)
     return words, ngrams.conditional(bigram_table(spark, d, 3))
@@ -144,7 +90,6 @@ SELECT item_id, idx, "end" - CAST(length(token) AS INTEGER) AS start, "end", tok
 QUERIES = {
     f.__name__: f
     for f in (
-        myanmar_syllables, myanmar_normalize, myanmar_sentences, phonetic_codes, confusable_variants, nasal_variants, syllable_validity, raw_detectors, normal_detectors, typed_confusable_pairs,
         token_places, unknown_words, broken_compound_errors, hidden_compound_errors, homophone_errors, context_probability_errors, rule_table_errors, tag_sequence_errors, viterbi_tags, tag_disambiguation, check_documents,
     )
 }
