@@ -85,3 +85,48 @@ def reranker_features(candidates: DataFrame) -> DataFrame:
             "candidates": F.count("*").over(w),
         }
     )
+
+
+# Characters of the script that are taken for one another, by kind of synthetic error; an empty one is dropped.
+SCRIPT_KINDS = {
+    "medial": {"ျ": "ြ", "ြ": "ျ", "ွ": "ှ", "ှ": "ွ"},
+    "similar": {"ဝ": "၀", "၀": "ဝ", "ဥ": "ဉ", "ဉ": "ဥ", "ရ": "၇", "ိ": "ီ", "ီ": "ိ", "ု": "ူ", "ူ": "ု"},
+    "aspirated": {"က": "ခ", "ခ": "က", "စ": "ဆ", "ဆ": "စ", "တ": "ထ", "ထ": "တ", "ပ": "ဖ", "ဖ": "ပ"},
+    "deletion": {"်": "", "့": "", "း": "", "ံ": ""},
+    "insertion": {"်": "််", "့": "့့", "း": "းး"},
+    "typo": {"ါ": "ာ", "ာ": "ါ", "ဿ": "သ", "။": "၊", "၊": "။"},
+}
+
+
+def swap_first(text: Column, table: dict[str, str]) -> Column:
+    """The text with its first character of the table swapped; without any as it is."""
+    at = F.length(text) - F.length(F.regexp_replace(text, f"^[^{''.join(table)}]*", "")) + 1
+    to = F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.substring(text, at, F.lit(1)))
+    return F.when(text.rlike(f"[{''.join(table)}]"), F.concat(F.substring(text, F.lit(1), at - 1), to, F.substring(text, at + 1, F.length(text)))).otherwise(text)
+
+
+def corrupt_script(text: Column, kind: str) -> Column:
+    """One synthetic error of the kind in a text of the script."""
+    return swap_first(text, SCRIPT_KINDS[kind])
+
+
+def chosen_kind(key: Column) -> Column:
+    """A kind of error by the hash of the key."""
+    at = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % len(SCRIPT_KINDS)
+    return F.element_at(F.array(*[F.lit(k) for k in SCRIPT_KINDS]), (at + 1).cast("int"))
+
+
+def corrupted(text: Column, key: Column) -> Column:
+    """The text with an error of the kind that the hash of the key chooses."""
+    out = text
+    for kind in SCRIPT_KINDS:
+        out = F.when(chosen_kind(key) == kind, corrupt_script(text, kind)).otherwise(out)
+    return out
+
+
+def swap_word(words: Column, table: dict[str, str]) -> Column:
+    """The words with the first one of the table (homophones, particles) swapped for its counterpart."""
+    to = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    at = F.array_min(F.filter(F.array(*[F.array_position(words, F.lit(k)) for k in table]), lambda p: p > 0))
+    at = at.cast("int")
+    return F.when(at.isNull(), words).otherwise(F.concat(F.slice(words, F.lit(1), at - 1), F.array(F.element_at(to, F.element_at(words, at))), F.slice(words, at + 1, F.size(words))))

@@ -80,3 +80,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], sums: tuple[str, ...
     joined = old.alias("o").join(new.alias("n"), keys, "full_outer")
     merged = [(F.coalesce(F.col(f"o.{c}"), F.lit(0)) + F.coalesce(F.col(f"n.{c}"), F.lit(0))).alias(c) if c in sums else F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in rest]
     return joined.select(*keys, *merged)
+
+
+def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``old`` and those of ``new`` whose key it lacks."""
+    return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))

@@ -60,3 +60,25 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
         ),
     )
     return p.select("doc_id", F.inline(taken))
+
+
+def auroc(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, auroc, positives, negatives): the chance that a positive scores above a negative, ties half; null without both. Rows are counted by score first."""
+    r = rows.groupBy(*by, "score").agg(F.count_if("gold").alias("p"), F.count_if(~F.col("gold")).alias("q"))
+    below = F.sum("q").over(Window.partitionBy(*by).orderBy("score")) - F.col("q")
+    r = r.withColumn("won", F.col("p") * (below + F.col("q") / 2.0))
+    n = F.sum("p") * F.sum("q")
+    return r.groupBy(*by).agg((F.sum("won") / F.when(n > 0, n)).alias("auroc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
+
+
+def standard(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, mean, deviation, n): what a z-score needs."""
+    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.count("*").alias("n"))
+
+
+def compare(old: DataFrame, new: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """Metrics of two runs side by side, with their change."""
+    a = old.select(*by, *[F.col(m).cast("double").alias(f"{m}_old") for m in metrics])
+    b = new.select(*by, *[F.col(m).cast("double").alias(f"{m}_new") for m in metrics])
+    x = a.join(b, by)
+    return x.select(*by, *[c for m in metrics for c in (F.col(f"{m}_old"), F.col(f"{m}_new"), (F.col(f"{m}_new") - F.col(f"{m}_old")).alias(f"{m}_change"))])

@@ -1,5 +1,5 @@
 """Queries on the test tables."""
 
-from . import checks, corpus, myanmar, script
+from . import checks, corpus, grammar, myanmar, script
 
-MODULES = (corpus, checks, myanmar, script)
+MODULES = (corpus, checks, myanmar, script, grammar)
