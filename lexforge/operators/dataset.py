@@ -38,7 +38,7 @@ def pair_filters(pairs: DataFrame, ratio: Column, order: list[str], min_ratio: f
 
 def split(rows: DataFrame, key: Column, train: int = 90, dev: int = 5, pinned: Column | None = None) -> DataFrame:
     """Add ``split`` by hash of the key; pinned rows always train."""
-    part = F.pmod(F.xxhash64(key), F.lit(100))
+    part = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % 100
     out = F.when(part < train, "train").when(part < train + dev, "dev").otherwise("test")
     return rows.withColumn("split", F.when(pinned, "train").otherwise(out) if pinned is not None else out)
 
@@ -51,7 +51,7 @@ def stratified(rows: DataFrame, stratum: str, key: Column, dev: int = 2) -> Data
 
 def sample(rows: DataFrame, key: Column, n: int, seed: int = 0) -> DataFrame:
     """n rows by least hash; the same on every run."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), key).limit(n)
 
 
 def corrupt(words: Column, kind: str, at: Column) -> Column:

@@ -127,10 +127,11 @@ def homophones(near: DataFrame, doc: str, sets: DataFrame, bigrams: DataFrame, m
 
 
 def unlikely(near: DataFrame, doc: str, bigrams: DataFrame, threshold: float = 0.001, priority: int = 50) -> DataFrame:
-    """Tokens whose bigrams on both sides are below the threshold."""
+    """Tokens whose bigrams are below the threshold, on each side on which there is a neighbour; a token alone is none."""
     p = bigrams.select("w1", "w2", "probability")
     x = near.join(p.toDF("prev", "token", "pl"), ["prev", "token"], "left").join(p.toDF("token", "next", "pr"), ["token", "next"], "left")
-    x = x.filter(F.col("prev").isNotNull() & F.col("next").isNotNull() & (F.coalesce("pl", F.lit(0.0)) < threshold) & (F.coalesce("pr", F.lit(0.0)) < threshold))
+    low = lambda side, p: F.col(side).isNull() | (F.coalesce(p, F.lit(0.0)) < threshold)
+    x = x.filter((F.col("prev").isNotNull() | F.col("next").isNotNull()) & low("prev", "pl") & low("next", "pr"))
     return x.select(*_error(doc, "context_probability", F.lit(None).cast("string"), F.lit(0.4), priority))
 
 

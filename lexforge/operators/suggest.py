@@ -108,10 +108,10 @@ def statistical_confusables(tokens: DataFrame, pairs: DataFrame, bigrams: DataFr
 
 
 def split_in_two(words: DataFrame, rare: int = 2, least: int = 20, shortest: int = 2) -> DataFrame:
-    """(word, part1, part2, score) of rare words that two commoner ones spell: the likeliest pair, then the first."""
+    """(word, part1, part2, uses) of rare words that two commoner ones spell: the pair with the largest product of uses, then the first."""
     f = words.filter(F.col("frequency") >= least).select("word", "frequency")
     odd = words.filter((F.col("frequency") <= rare) & (F.length("word") >= 2 * shortest)).select("word", F.explode(F.sequence(F.lit(shortest), F.length("word") - shortest)).alias("i"))
     parts = odd.select("word", F.expr("substring(word, 1, i)").alias("part1"), F.expr("substring(word, i + 1)").alias("part2"))
     x = parts.join(f.toDF("part1", "f1"), "part1").join(f.toDF("part2", "f2"), "part2")
     best = F.row_number().over(Window.partitionBy("word").orderBy(F.desc(F.col("f1") * F.col("f2")), "part1"))
-    return x.withColumn("n", best).filter("n = 1").select("word", "part1", "part2", (F.log("f1") + F.log("f2")).alias("score"))
+    return x.withColumn("n", best).filter("n = 1").select("word", "part1", "part2", (F.col("f1") * F.col("f2")).alias("uses"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance, text
 from ..operators import dataset, enrich, evaluate, fusion, ngrams, suggest, tags
-from .corpus import _ascii_words, bigram_table, docs, trigram_table, word_table, GRAMS, TOK, WORDS
+from .corpus import _CONF, GRAMS, ONE_BYTE, TOK, WORDS, bigram_table, docs, trigram_table, word_table
 
 # errors made from tables: a document's symbols, capitals and repeats as three detectors
 ERRORS = """e AS (
@@ -83,18 +83,21 @@ def pos_resolution(spark, d):
 
 
 def symspell_candidates(spark, d):
-    asked = docs(spark, d, "benchmark").select(F.explode(text.words(F.col("text"))).alias("query")).filter("length(query) between 4 and 10").filter(F.col("query").rlike(r"^[\x00-\x7F]+$")).distinct()
-    found = suggest.lookup(asked, _ascii_words(spark, d).filter("frequency >= 30"), 1)
-    return found.select("query", "term", "frequency")
+    return _candidates(spark, d).select("query", "term", "frequency")
+
+
+def _candidates(spark, d):
+    asked = docs(spark, d, "benchmark").select(F.explode(text.words(F.col("text"))).alias("query")).distinct()
+    return suggest.lookup(asked, word_table(spark, d, 30), 1)
 
 
 def symspell_ranked(spark, d):
-    asked = docs(spark, d, "benchmark").select(F.explode(text.words(F.col("text"))).alias("query")).filter("length(query) between 4 and 10").distinct()
+    asked = docs(spark, d, "benchmark").select(F.explode(text.words(F.col("text"))).alias("query")).distinct()
     return suggest.rank(suggest.lookup(asked, word_table(spark, d, 20), 2), 5)
 
 
 def candidate_sources(spark, d):
-    found = suggest.lookup(docs(spark, d, "benchmark").select(F.explode(text.words(F.col("text"))).alias("query")), word_table(spark, d, 30), 1)
+    found = _candidates(spark, d)
     a = found.select("query", "term", (1.0 / (1 + F.col("distance"))).alias("score"), F.lit("edit").alias("source"))
     b = found.select("query", "term", distance.dice(F.col("query"), F.col("term")).alias("score"), F.lit("dice").alias("source"))
     return suggest.merge_sources([a, b])
@@ -128,7 +131,7 @@ def context_scores(spark, d):
 
 
 def statistical_confusables(spark, d):
-    pairs = enrich.confusable_pairs(_ascii_words(spark, d), 40).select("w1", "w2")
+    pairs = enrich.confusable_pairs(word_table(spark, d), 40).select("w1", "w2")
     b = bigram_table(spark, d)
     return suggest.statistical_confusables(b.select(F.col("w1").alias("left"), F.col("w2").alias("word")), pairs, ngrams.conditional(b))
 
@@ -207,8 +210,8 @@ def preprocess_report(spark, d):
 
 
 def pair_filters(spark, d):
-    rows = docs(spark, d).select("doc_id", F.substring("text", 1, 300).alias("clean")).withColumn("corrupted", F.regexp_replace("clean", "th", "t"))
-    return dataset.pair_filters(rows, text.script_ratio(F.col("corrupted"), "a-zA-Z"), ["doc_id"]).select("doc_id", F.length("corrupted").alias("n"))
+    rows = docs(spark, d).select("doc_id", F.col("text").alias("clean")).withColumn("corrupted", F.regexp_replace("clean", "th", "t"))
+    return dataset.pair_filters(rows, text.script_ratio(F.col("corrupted"), "a-zA-Z"), ["doc_id"], max_bytes=20_000).select("doc_id", F.length("corrupted").alias("n"))
 
 
 def hash_split(spark, d):
@@ -226,18 +229,21 @@ def reservoir(spark, d):
 def corruption(spark, d):
     rows = docs(spark, d).select("doc_id", text.words(F.col("text")).alias("w")).filter("size(w) > 3")
     at = F.lit(2)
-    return rows.select("doc_id", *[F.array_join(F.slice(dataset.corrupt(F.col("w"), k, at), 1, 4), " ").alias(k) for k in ("drop", "double", "swap", "split", "join")])
+    return rows.select("doc_id", *[F.md5(F.array_join(dataset.corrupt(F.col("w"), k, at), " ")).alias(k) for k in ("drop", "double", "swap", "split", "join")])
 
 
 def reranker_features(spark, d):
-    c = suggest.rank(suggest.lookup(docs(spark, d, "benchmark").select(F.explode(text.words(F.col("text"))).alias("query")), word_table(spark, d, 30), 1), 5)
+    c = suggest.rank(_candidates(spark, d), 5)
     return dataset.reranker_features(c.select(F.col("query").alias("error_id"), F.col("query").alias("error"), F.col("term").alias("candidate"), "frequency", "distance", "rank"))
 
 
 def corrected_text(spark, d):
-    rows = docs(spark, d).select("doc_id", F.substring("text", 1, 60).alias("text")).filter("length(text) >= 40")
-    e = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(z).alias("end"), F.lit(x).alias("fix"), F.lit(k).alias("action")) for a, z, x, k in ((10, 15, "FIX", "SUGGEST"), (12, 20, "lost", "AUTO_FIX"), (0, 3, "Any", "SUGGEST"), (30, 32, "no", "INFORM"), (38, 40, "", "SUGGEST"))])
-    return rows.select("doc_id", fusion.corrected(F.col("text"), e).alias("corrected"))
+    """Whole texts with spans at the start and, in longer ones, at the end; what lies behind a text's end is no error of it."""
+    n = F.length("text")
+    e = F.array(*[F.struct((n + a if a < 0 else F.lit(a)).alias("start"), (n + z if a < 0 else F.lit(z)).alias("end"), F.lit(x).alias("fix"), F.lit(k).alias("action"), F.lit(least).alias("least")) for a, z, x, k, least in (
+        (10, 15, "FIX", "SUGGEST", 15), (12, 20, "lost", "AUTO_FIX", 20), (0, 3, "Any", "SUGGEST", 3), (30, 32, "no", "INFORM", 32), (38, 40, "", "SUGGEST", 40), (-4, -2, "END", "SUGGEST", 50),
+    )])
+    return docs(spark, d).select("doc_id", F.md5(fusion.corrected(F.col("text"), F.filter(e, lambda x: n >= x["least"]))).alias("corrected"))
 
 
 def cross_sentence_context(spark, d):
@@ -264,6 +270,8 @@ _X = f"x AS (SELECT lang, quality = 0 AS gold, 20 * ({_MARKS}) > length(text) AS
 _SP = "gs AS (SELECT doc_id, i AS gold_id, i * 37 % 200 AS gold_start, i * 37 % 200 + 20 AS gold_end FROM documents, range(5) t(i)), ss AS (SELECT doc_id, i AS sys_id, (i * 29 + n_chars) % 200 AS sys_start, (i * 29 + n_chars) % 200 + 15 AS sys_end FROM documents, range(6) t(i))"
 _BW = f"bw AS (SELECT item_id, unnest({TOK}) AS w, unnest(range(1, len({TOK}) + 1)) AS i FROM benchmark), bg AS (SELECT w AS w1, lead(w, 1) OVER z AS w2, lead(w, 2) OVER z AS w3 FROM bw WINDOW z AS (PARTITION BY item_id ORDER BY i)), tri AS (SELECT DISTINCT w1, w2, w3 FROM bg WHERE w3 IS NOT NULL)"
 _P2 = "p2 AS (SELECT *, round(cnt::DOUBLE / sum(cnt) OVER (PARTITION BY w1), 6) AS probability FROM b WHERE cnt >= 5)"
+_CAND = f"k AS (SELECT word AS term, frequency FROM w WHERE frequency >= 30), q AS (SELECT DISTINCT query FROM (SELECT unnest({TOK}) AS query FROM benchmark) WHERE query NOT IN (SELECT term FROM k)), cand AS (SELECT query, term, frequency FROM q, k WHERE abs(length(query) - length(term)) <= 1 AND length(query) + length(term) > 2 AND damerau_levenshtein({ONE_BYTE('query')}, {ONE_BYTE('term')}) <= 1)"
+_DICE = "da AS (SELECT *, list_transform(range(1, length(query)), lambda i: query[i:i + 1]) AS a, list_transform(range(1, length(term)), lambda i: term[i:i + 1]) AS b FROM cand), dc AS (SELECT query, term, frequency, coalesce(2.0 * coalesce(list_sum(list_transform(list_distinct(a), lambda v: least(len(list_filter(a, lambda z: z = v)), len(list_filter(b, lambda z: z = v))))), 0) / nullif(len(a) + len(b), 0), 0)::DOUBLE AS dice FROM da)"
 
 SQL = {
     "tag_unigram": f"WITH {_EV} SELECT tag1 AS tag, count(*) AS cnt, count(*)::DOUBLE / sum(count(*)) OVER () AS probability FROM s GROUP BY tag1",
@@ -276,7 +284,14 @@ SQL = {
     "pos_coverage": f"WITH {WORDS}, x AS (SELECT word IN ('the', 'of', 'und') AS t, word LIKE '%tion' OR word LIKE '%ly' OR word LIKE 'th%' AS i FROM w WHERE frequency >= 20) SELECT count(*) AS words, count(*) FILTER (t) AS tagged, count(*) FILTER (NOT t AND i) AS inferred, count(*) FILTER (NOT t AND NOT i) AS untagged FROM x",
     "pos_inference": rf"WITH {WORDS}, x AS (SELECT *, CASE WHEN regexp_full_match(word, '\p{{Nd}}+') THEN 1 WHEN word LIKE '%tion' THEN 2 WHEN word LIKE '%ly' THEN 3 WHEN word LIKE 'th%' THEN 4 END AS k FROM w WHERE frequency >= 20) SELECT word, frequency, (['NUM', 'N', 'ADV', 'DET'])[k] AS inferred_pos, CAST(([0.95, 0.8, 0.7, 0.4])[k] AS DOUBLE) AS inferred_confidence, (['numeral', 'suffix', 'suffix', 'prefix'])[k] AS inferred_source FROM x",
     "pos_resolution": f"WITH {WORDS} SELECT word, CASE WHEN length(word) <= 2 THEN 'PART' WHEN word LIKE '%tion' THEN 'N' WHEN word LIKE '%s' THEN 'PL' ELSE 'X' END AS resolved FROM w WHERE frequency >= 50",
-    "symspell_candidates": f"WITH {WORDS}, k AS (SELECT word AS term, frequency FROM w WHERE frequency >= 30 AND regexp_full_match(word, '[\\x00-\\x7F]+')), q AS (SELECT DISTINCT query FROM (SELECT unnest({TOK}) AS query FROM benchmark) WHERE length(query) BETWEEN 4 AND 10 AND regexp_full_match(query, '[\\x00-\\x7F]+') AND query NOT IN (SELECT term FROM k)) SELECT query, term, frequency FROM q, k WHERE abs(length(query) - length(term)) <= 1 AND damerau_levenshtein(query, term) <= 1",
+    "symspell_candidates": f"WITH {WORDS}, {_CAND} SELECT query, term, frequency FROM cand",
+    "candidate_sources": f"WITH {WORDS}, {_CAND}, {_DICE}, u AS (SELECT query, term, 0.5::DOUBLE AS score, 'edit' AS source FROM cand UNION ALL SELECT query, term, dice, 'dice' FROM dc) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query, term ORDER BY score DESC, source) = 1",
+    "reranker_features": f"WITH {WORDS}, {_CAND}, {_DICE}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY 1 - 0.1::DOUBLE * log10(frequency + 1), frequency DESC, term) AS INTEGER) AS rank FROM dc QUALIFY rank <= 5) SELECT query AS error_id, query AS error, term AS candidate, frequency, 1 AS distance, rank, ln(frequency + 1) AS log_frequency, ln(frequency + 1) / max(ln(frequency + 1)) OVER (PARTITION BY query) AS relative_frequency, dice, CAST(abs(length(query) - length(term)) AS INTEGER) AS length_gap, 1.0::DOUBLE / rank AS inverse_rank, left(query, 1) = left(term, 1) AS same_first, count(*) OVER (PARTITION BY query) AS candidates FROM r",
+    "statistical_confusables": f"WITH {GRAMS}, {WORDS}, {_CONF.format(least=40)}, pr AS (SELECT w1, w2, round(cnt::DOUBLE / sum(cnt) OVER (PARTITION BY w1), 6) AS probability FROM b), v AS (SELECT w1 AS word, w2 AS variant FROM q WHERE freq_ratio <= 1000 UNION ALL SELECT w2, w1 FROM q WHERE freq_ratio <= 1000), x AS (SELECT b.w1 AS l, v.word, variant, CASE WHEN o.probability IS NULL THEN 0 WHEN m.probability IS NULL THEN 1e6 ELSE o.probability / m.probability END::DOUBLE AS ratio FROM b JOIN v ON v.word = b.w2 LEFT JOIN pr m ON m.w1 = b.w1 AND m.w2 = v.word LEFT JOIN pr o ON o.w1 = b.w1 AND o.w2 = v.variant) SELECT l AS \"left\", word, variant, ratio, 0.5 + 0.45 * least(log10(ratio) / 6, 1.0::DOUBLE) AS confidence FROM x WHERE ratio >= 10 QUALIFY row_number() OVER (PARTITION BY l, word ORDER BY ratio DESC, variant) = 1",
+    "hash_split": "WITH x AS (SELECT doc_id, CAST('0x' || left(md5(CAST(doc_id AS VARCHAR)), 8) AS UBIGINT) % 100 AS p FROM documents) SELECT doc_id, CASE WHEN doc_id % 50 = 0 OR p < 90 THEN 'train' WHEN p < 95 THEN 'dev' ELSE 'test' END AS split FROM x",
+    "reservoir": "SELECT doc_id, lang FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 100",
+    "contained_errors": f"WITH {_SP}, e AS (SELECT doc_id, 1 AS priority, gold_id AS id, gold_start AS start, gold_end AS \"end\" FROM gs UNION ALL SELECT doc_id, 2, sys_id, sys_start, sys_end FROM ss) SELECT * FROM e QUALIFY coalesce(max(\"end\") OVER (PARTITION BY doc_id ORDER BY start, \"end\" DESC, priority ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < \"end\", true)",
+    "span_greedy_match": f"WITH RECURSIVE {_SP}, o AS (SELECT doc_id, gold_id, sys_id, least(gold_end, sys_end) - greatest(gold_start, sys_start) AS overlap FROM gs JOIN ss USING (doc_id) WHERE gold_start < sys_end AND sys_start < gold_end), c AS MATERIALIZED (SELECT gs.doc_id, gs.gold_id, coalesce(list(sys_id ORDER BY overlap DESC, sys_id) FILTER (sys_id IS NOT NULL), []) AS cands FROM gs LEFT JOIN o USING (doc_id, gold_id) GROUP BY ALL), r AS (SELECT doc_id, -1::BIGINT AS gold_id, []::BIGINT[] AS taken, NULL::BIGINT AS sys_id FROM documents UNION ALL SELECT doc_id, gold_id, CASE WHEN p IS NULL THEN taken ELSE list_append(taken, p) END, p FROM (SELECT r.doc_id, c.gold_id, taken, list_filter(cands, lambda z: NOT list_contains(taken, z))[1] AS p FROM r JOIN c ON c.doc_id = r.doc_id AND c.gold_id = r.gold_id + 1) q) SELECT doc_id, gold_id, sys_id FROM r WHERE sys_id IS NOT NULL",
     "smoothed_bigram_backoff": f"WITH {GRAMS}, {WORDS}, {_BW}, {_P2}, q AS (SELECT DISTINCT w1, w2 FROM tri) SELECT q.w1, q.w2, coalesce(probability, least(0.4 * frequency / 400000.0, 0.1), 0)::DOUBLE AS p FROM q LEFT JOIN p2 USING (w1, w2) LEFT JOIN w ON w.word = q.w2",
     "smoothed_trigram_backoff": f"WITH {GRAMS}, {WORDS}, {_BW}, {_P2}, t3 AS (SELECT w1, w2, w3, count(*) AS cnt FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 3), p3 AS (SELECT *, round(cnt::DOUBLE / sum(cnt) OVER (PARTITION BY w1, w2), 6) AS probability FROM t3) SELECT q.w1, q.w2, q.w3, coalesce(p3.probability, 0.4 * p2.probability, least(0.4::DOUBLE * 0.4 * frequency / 400000.0, 0.1), 0)::DOUBLE AS p FROM tri q LEFT JOIN p3 USING (w1, w2, w3) LEFT JOIN p2 ON p2.w1 = q.w2 AND p2.w2 = q.w3 LEFT JOIN w ON w.word = q.w3",
     "add_k_bigrams": f"WITH {GRAMS}, {WORDS}, x AS (SELECT * FROM b WHERE cnt >= 10) SELECT w1, w2, (cnt + 0.5::DOUBLE) / (sum(cnt) OVER (PARTITION BY w1) + 0.5::DOUBLE * (SELECT count(*) FROM w)) AS p FROM x",
@@ -294,11 +309,11 @@ SQL = {
     "latency_percentiles": "WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL), s AS (SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS share) SELECT share, value FROM r, s WHERE i = CAST(floor(n * share) AS BIGINT)",
     "span_overlap": f"WITH {_SP} SELECT doc_id, gold_id, sys_id, least(gold_end, sys_end) - greatest(gold_start, sys_start) AS overlap FROM gs JOIN ss USING (doc_id) WHERE gold_start < sys_end AND sys_start < gold_end",
     "preprocess_report": r"WITH x AS (SELECT length(trim(coalesce(text, ''))) AS n, regexp_replace(coalesce(text, ''), '[ \t\n\r]+', '', 'g') AS s FROM documents) SELECT CASE WHEN n = 0 THEN 'empty' WHEN n < 10 THEN 'short' WHEN n > 1000 THEN 'long' WHEN (length(s) - length(regexp_replace(s, '[a-zA-Z]', '', 'g')))::DOUBLE / length(s) < 0.6 THEN 'script' ELSE 'kept' END AS reason, count(*) AS rows FROM x GROUP BY ALL",
-    "pair_filters": r"WITH x AS (SELECT doc_id, text[1:300] AS clean, replace(text[1:300], 'th', 't') AS corrupted FROM documents), y AS (SELECT *, regexp_replace(corrupted, '[ \t\n\r]+', '', 'g') AS s FROM x), z AS (SELECT * FROM y WHERE (length(s) - length(regexp_replace(s, '[a-zA-Z]', '', 'g')))::DOUBLE / length(s) >= 0.8 AND s <> regexp_replace(clean, '[ \t\n\r]+', '', 'g') AND length(corrupted) >= 0.7 * length(clean) AND octet_length(encode(corrupted)) <= 512 AND octet_length(encode(clean)) <= 512 QUALIFY row_number() OVER (PARTITION BY corrupted ORDER BY doc_id) = 1) SELECT doc_id, CAST(length(corrupted) AS INTEGER) AS n FROM z",
+    "pair_filters": r"WITH x AS (SELECT doc_id, text AS clean, replace(text, 'th', 't') AS corrupted FROM documents), y AS (SELECT *, regexp_replace(corrupted, '[ \t\n\r]+', '', 'g') AS s FROM x), z AS (SELECT * FROM y WHERE (length(s) - length(regexp_replace(s, '[a-zA-Z]', '', 'g')))::DOUBLE / length(s) >= 0.8 AND s <> regexp_replace(clean, '[ \t\n\r]+', '', 'g') AND length(corrupted) >= 0.7 * length(clean) AND octet_length(encode(corrupted)) <= 20000 AND octet_length(encode(clean)) <= 20000 QUALIFY row_number() OVER (PARTITION BY corrupted ORDER BY doc_id) = 1) SELECT doc_id, CAST(length(corrupted) AS INTEGER) AS n FROM z",
     "stratified_split": "SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR))) % 2 = 1 THEN 'dev' ELSE 'test' END AS split FROM documents",
-    "corrected_text": "SELECT doc_id, 'Any' || text[4:10] || 'FIX' || text[16:38] || text[41:60] AS corrected FROM documents WHERE length(text[1:60]) >= 40",
+    "corrected_text": "WITH x AS (SELECT doc_id, text AS t, length(text) AS n FROM documents) SELECT doc_id, md5(CASE WHEN n < 3 THEN t WHEN n < 15 THEN 'Any' || t[4:] WHEN n < 40 THEN 'Any' || t[4:10] || 'FIX' || t[16:] WHEN n < 50 THEN 'Any' || t[4:10] || 'FIX' || t[16:38] || t[41:] ELSE 'Any' || t[4:10] || 'FIX' || t[16:38] || t[41:n - 4] || 'END' || t[n - 1:] END) AS corrected FROM x",
     "cross_sentence_context": "WITH c AS (SELECT conv_id, turn, any_value(text) AS text FROM conversations GROUP BY ALL), x AS (SELECT conv_id, turn, right(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), 100) AS context FROM c) SELECT *, CAST(length(context) AS INTEGER) AS shift FROM x",
-    "corruption": f"WITH x AS (SELECT doc_id, {TOK} AS w FROM documents), y AS (SELECT doc_id, w[1] AS a, w[2] AS b, w[3] AS c, w[4] AS e, w[5] AS f, greatest(length(w[2]) // 2, 1) AS h FROM x WHERE len(w) > 3) SELECT doc_id, concat_ws(' ', a, b[1:h - 1] || b[h + 1:], c, e) AS \"drop\", concat_ws(' ', a, b[1:h] || b[h:h] || b[h + 1:], c, e) AS \"double\", concat_ws(' ', a, b[1:h - 1] || b[h + 1:h + 1] || b[h:h] || b[h + 2:], c, e) AS swap, concat_ws(' ', a, b[1:h] || ' ' || b[h + 1:], c, e) AS split, concat_ws(' ', a, b || c, e, f) AS \"join\" FROM y",
+    "corruption": f"WITH x AS (SELECT doc_id, {TOK} AS w FROM documents), y AS (SELECT doc_id, w, w[2] AS b, greatest(length(w[2]) // 2, 1) AS h FROM x WHERE len(w) > 3), z AS (SELECT doc_id, w, b[1:h - 1] || b[h + 1:] AS p, b[1:h] || b[h:h] || b[h + 1:] AS q, b[1:h - 1] || b[h + 1:h + 1] || b[h:h] || b[h + 2:] AS r, b[1:h] || ' ' || b[h + 1:] AS s, b || w[3] AS j FROM y) SELECT doc_id, {', '.join(f'md5(array_to_string([w[1]] || [{v}] || w[{3 + (k == "join")}:], chr(32))) AS \"{k}\"' for k, v in (('drop', 'p'), ('double', 'q'), ('swap', 'r'), ('split', 's'), ('join', 'j')))} FROM z",
 }
-_ROWS_ONLY = ("symspell_ranked", "candidate_sources", "statistical_confusables", "span_greedy_match", "hash_split", "reservoir", "reranker_features", "contained_errors")
+_ROWS_ONLY = ("symspell_ranked",)
 QUERIES = {name: globals()[name] for name in [*SQL, *_ROWS_ONLY]}

@@ -9,6 +9,8 @@ from ..functions import distance, text
 from ..operators import dataset, enrich, ngrams
 
 TOK = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r]+'), lambda x: x <> '')"
+#: SQL's distances count bytes; lower-cased words have no capitals, so these stand for letters of two bytes.
+ONE_BYTE = lambda x: f"translate({x}, 'éóèñçüêäöíßáúàâîôûëïœæåøãõ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 FORMAL, INFORMAL = ("the", "der", "la", "le"), ("is", "und", "que", "et")
 QUALITY = r"regexp_full_match(word, '\p{L}+') AND length(word) BETWEEN 2 AND 40 AND NOT regexp_matches(word, 'aaaa|bbbb|cccc|dddd|eeee|ffff|gggg|hhhh|iiii|jjjj|kkkk|llll|mmmm|nnnn|oooo|pppp|qqqq|rrrr|ssss|tttt|uuuu|vvvv|wwww|xxxx|yyyy|zzzz|ßßßß|ääää|éééé|èèèè|êêêê|çççç|öööö|üüüü|óóóó|íííí|ññññ|úúúú|áááá')"
 WORDS = f"w AS (SELECT word, count(*) AS frequency FROM (SELECT unnest({TOK}) AS word FROM documents) GROUP BY word)"
@@ -107,17 +109,12 @@ def register_tags(spark, d):
     return enrich.register_tags(bigram_table(spark, d), FORMAL, INFORMAL, 20)
 
 
-def _ascii_words(spark, d):
-    """The SQL engine's edit distance counts bytes, so these comparisons are about ASCII words."""
-    return word_table(spark, d).filter(F.col("word").rlike(r"^[\x00-\x7F]+$"))
-
-
 def confusable_pairs(spark, d):
-    return enrich.confusable_pairs(_ascii_words(spark, d), 20)
+    return enrich.confusable_pairs(word_table(spark, d), 20)
 
 
 def left_context_cosine(spark, d):
-    pairs = enrich.confusable_pairs(_ascii_words(spark, d), 40).select("w1", "w2")
+    pairs = enrich.confusable_pairs(word_table(spark, d), 40).select("w1", "w2")
     return enrich.left_context_cosine(pairs, bigram_table(spark, d))
 
 
@@ -148,7 +145,7 @@ def dictionary_upsert(spark, d):
 
 def levenshtein_pairs(spark, d):
     w = word_table(spark, d, 60).filter("length(word) between 4 and 8").select("word")
-    pairs = enrich.confusable_pairs(_ascii_words(spark, d), 60).select("w1", "w2")
+    pairs = enrich.confusable_pairs(word_table(spark, d), 60).select("w1", "w2")
     return pairs.join(w.withColumnRenamed("word", "w1"), "w1", "left_semi").select("w1", "w2", F.levenshtein("w1", "w2").alias("distance"), distance.dice(F.col("w1"), F.col("w2")).alias("dice"))
 
 
@@ -157,10 +154,10 @@ def segmented_corpus(spark, d):
 
 
 _CONF = f"""k AS (SELECT word, frequency, unnest(list_distinct(list_concat([word], list_transform(range(1, length(word) + 1), lambda i: word[1:i - 1] || word[i + 1:])))) AS key
-  FROM w WHERE frequency >= {{least}} AND length(word) <= 10 AND regexp_full_match(word, '[\x00-\x7F]+')),
+  FROM w WHERE frequency >= {{least}} AND length(word) <= 10),
 c AS (SELECT DISTINCT x.word AS w1, y.word AS w2, x.frequency AS f1, y.frequency AS f2 FROM k x JOIN k y USING (key) WHERE key <> '' AND x.word < y.word),
-q AS (SELECT *, greatest(f1, f2)::DOUBLE / least(f1, f2) AS freq_ratio FROM c WHERE levenshtein(w1, w2) <= 1
-  OR (levenshtein(w1, w2) = 2 AND length(w1) = length(w2) AND list_sort(string_split(w1, '')) = list_sort(string_split(w2, ''))))"""
+q AS (SELECT *, greatest(f1, f2)::DOUBLE / least(f1, f2) AS freq_ratio FROM c WHERE levenshtein({ONE_BYTE('w1')}, {ONE_BYTE('w2')}) <= 1
+  OR (levenshtein({ONE_BYTE('w1')}, {ONE_BYTE('w2')}) = 2 AND length(w1) = length(w2) AND list_sort(string_split(w1, '')) = list_sort(string_split(w2, ''))))"""
 
 SQL = {
     "token_counts": f"WITH {WORDS} SELECT word, frequency FROM w",
@@ -181,13 +178,13 @@ SQL = {
     "broken_compounds": f"WITH {GRAMS}, {WORDS}, s AS (SELECT sum(frequency)::DOUBLE AS total FROM w), x AS (SELECT w1 || w2 AS compound, w1 AS part1, w2 AS part2, k.frequency AS compound_freq, cnt AS split_freq, log2((cnt / total) / ((a.frequency / total) * (c.frequency / total))) AS pmi FROM b, s, w a, w c, w k WHERE a.word = w1 AND c.word = w2 AND k.word = w1 || w2 AND k.frequency >= 2) SELECT * FROM x WHERE pmi >= 0.5 QUALIFY row_number() OVER (PARTITION BY compound ORDER BY split_freq DESC, part1) = 1",
     "register_tags": f"WITH {GRAMS}, n AS (SELECT w1 AS word, w2 AS m, cnt FROM b UNION ALL SELECT w2, w1, cnt FROM b), y AS (SELECT word, sum(CASE WHEN m IN {FORMAL} THEN cnt ELSE 0 END)::BIGINT AS formal_count, sum(CASE WHEN m IN {INFORMAL} THEN cnt ELSE 0 END)::BIGINT AS informal_count FROM n WHERE m IN {FORMAL + INFORMAL} AND word NOT IN {FORMAL + INFORMAL} GROUP BY word), z AS (SELECT *, (formal_count - informal_count)::DOUBLE / (formal_count + informal_count + 1) AS l FROM y WHERE formal_count + informal_count >= 20) SELECT word, CASE WHEN l >= 0.3 THEN 'formal' WHEN l <= -0.3 THEN 'informal' ELSE 'neutral' END AS register, abs(l) AS confidence, formal_count, informal_count FROM z",
     "confusable_pairs": f"WITH {WORDS}, {_CONF.format(least=20)} SELECT * FROM q WHERE freq_ratio <= 1000",
-    "left_context_cosine": f"WITH {GRAMS}, {WORDS}, {_CONF.format(least=40)}, n AS (SELECT w2 AS word, sqrt(sum(cnt * cnt)) AS norm FROM b GROUP BY w2), dots AS (SELECT q.w1, q.w2, sum(x.cnt * y.cnt) AS dot FROM q JOIN b x ON x.w2 = q.w1 JOIN b y ON y.w2 = q.w2 AND y.w1 = x.w1 WHERE freq_ratio <= 1000 GROUP BY ALL) SELECT q.w1, q.w2, coalesce(dot / (n1.norm * n2.norm), 0.0)::DOUBLE AS overlap FROM q LEFT JOIN dots USING (w1, w2) LEFT JOIN n n1 ON n1.word = q.w1 LEFT JOIN n n2 ON n2.word = q.w2 WHERE freq_ratio <= 1000",
+    "left_context_cosine": f"WITH {GRAMS}, {WORDS}, {_CONF.format(least=40)}, pq AS MATERIALIZED (SELECT w1, w2 FROM q WHERE freq_ratio <= 1000), u AS (SELECT w1 AS word FROM pq UNION SELECT w2 FROM pq), l AS MATERIALIZED (SELECT b.w2 AS word, b.w1 AS before, cnt FROM b JOIN u ON u.word = b.w2), n AS (SELECT word, sqrt(sum(cnt * cnt)) AS norm FROM l GROUP BY word), dots AS (SELECT pq.w1, pq.w2, sum(x.cnt * y.cnt) AS dot FROM pq JOIN l x ON x.word = pq.w1 JOIN l y ON y.word = pq.w2 AND y.before = x.before GROUP BY ALL) SELECT pq.w1, pq.w2, coalesce(dot / (n1.norm * n2.norm), 0.0)::DOUBLE AS overlap FROM pq LEFT JOIN dots USING (w1, w2) LEFT JOIN n n1 ON n1.word = pq.w1 LEFT JOIN n n2 ON n2.word = pq.w2",
     "ingest_filter": r"WITH x AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', '', 'g') AS s FROM pages), y AS (SELECT page_id, CASE WHEN length(s) > 0 THEN (length(s) - length(regexp_replace(s, '[a-zA-Z]', '', 'g')))::DOUBLE / length(s) ELSE 0 END AS ratio FROM x) SELECT * FROM y WHERE ratio >= 0.6",
     "script_ratio": r"WITH x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\r]+', '', 'g') AS s FROM documents) SELECT doc_id, CASE WHEN length(s) > 0 THEN (length(s) - length(regexp_replace(s, '[a-z]', '', 'g')))::DOUBLE / length(s) ELSE 0 END AS ratio FROM x",
     "line_dedup": r"WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents) SELECT line, doc_id, CAST(line_no AS INTEGER) AS line_no FROM x WHERE trim(line) <> '' QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, line_no) = 1",
     "ledger_antijoin": "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars, source FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 9 = 0",
     "dictionary_upsert": f"WITH {WORDS} SELECT word, frequency FROM w",
-    "levenshtein_pairs": f"WITH {WORDS}, {_CONF.format(least=60)}, x AS (SELECT w1, w2, list_transform(range(1, length(w1)), lambda i: w1[i:i + 1]) AS a, list_transform(range(1, length(w2)), lambda i: w2[i:i + 1]) AS b FROM q WHERE length(w1) BETWEEN 4 AND 8) SELECT w1, w2, CAST(levenshtein(w1, w2) AS INTEGER) AS distance, coalesce(2.0 * coalesce(list_sum(list_transform(list_distinct(a), lambda v: least(len(list_filter(a, lambda z: z = v)), len(list_filter(b, lambda z: z = v))))), 0) / nullif(len(a) + len(b), 0), 0)::DOUBLE AS dice FROM x",
+    "levenshtein_pairs": f"WITH {WORDS}, {_CONF.format(least=60)}, x AS (SELECT w1, w2, list_transform(range(1, length(w1)), lambda i: w1[i:i + 1]) AS a, list_transform(range(1, length(w2)), lambda i: w2[i:i + 1]) AS b FROM q WHERE length(w1) BETWEEN 4 AND 8) SELECT w1, w2, CAST(levenshtein({ONE_BYTE('w1')}, {ONE_BYTE('w2')}) AS INTEGER) AS distance, coalesce(2.0 * coalesce(list_sum(list_transform(list_distinct(a), lambda v: least(len(list_filter(a, lambda z: z = v)), len(list_filter(b, lambda z: z = v))))), 0) / nullif(len(a) + len(b), 0), 0)::DOUBLE AS dice FROM x",
     "segmented_corpus": f"SELECT doc_id, source, CAST(len({TOK}) AS INTEGER) AS word_count, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS INTEGER) AS line_count FROM documents",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -299,7 +299,7 @@ SELECT doc_id, error_type, start, "end", priority, confidence FROM m WHERE NOT (
     "auroc": f"WITH {_CMP}, r AS (SELECT lang, score, count(*) FILTER (gold) AS p, count(*) FILTER (NOT gold) AS q FROM x GROUP BY ALL), c AS (SELECT *, sum(q) OVER (PARTITION BY lang ORDER BY score) - q AS below FROM r) SELECT lang, sum(p * (below + q / 2.0::DOUBLE)) / nullif(sum(p) * sum(q), 0) AS auroc, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(q) AS BIGINT) AS negatives FROM c GROUP BY lang",
     "score_statistics": f"WITH {_CMP} SELECT lang, avg(score) AS mean, stddev_pop(score) AS deviation, count(*) AS n FROM x GROUP BY lang",
     "run_comparison": f"WITH {_CMP}, {_runs(0.02, 'a')}, {_runs(0.06, 'b')} SELECT a.lang, {', '.join(f'a.{m}::DOUBLE AS {m}_old, b.{m}::DOUBLE AS {m}_new, (b.{m} - a.{m})::DOUBLE AS {m}_change' for m in ('precision', 'recall', 'f1', 'fpr'))} FROM af a JOIN bf b USING (lang)",
-    "compound_splits": f"WITH {WORDS}, q AS (SELECT word, unnest(range(2, length(word) - 1)) AS i FROM w WHERE frequency <= 2 AND length(word) >= 4), x AS (SELECT word, word[1:i] AS a, word[i + 1:] AS b FROM q) SELECT x.word, a.word AS part1, b.word AS part2, ln(a.frequency) + ln(b.frequency) AS score FROM x JOIN w a ON a.word = x.a AND a.frequency >= 20 JOIN w b ON b.word = x.b AND b.frequency >= 20 QUALIFY row_number() OVER (PARTITION BY x.word ORDER BY a.frequency * b.frequency DESC, a.word) = 1",
+    "compound_splits": f"WITH {WORDS}, q AS (SELECT word, unnest(range(2, length(word) - 1)) AS i FROM w WHERE frequency <= 2 AND length(word) >= 4), x AS (SELECT word, word[1:i] AS a, word[i + 1:] AS b FROM q) SELECT x.word, a.word AS part1, b.word AS part2, a.frequency * b.frequency AS uses FROM x JOIN w a ON a.word = x.a AND a.frequency >= 20 JOIN w b ON b.word = x.b AND b.frequency >= 20 QUALIFY row_number() OVER (PARTITION BY x.word ORDER BY a.frequency * b.frequency DESC, a.word) = 1",
     "dictionary_insert": f"WITH {WORDS}, n AS (SELECT word, count(*) AS frequency FROM (SELECT unnest({TOK}) AS word FROM benchmark) GROUP BY word) SELECT * FROM w UNION ALL SELECT * FROM n WHERE word NOT IN (SELECT word FROM w)",
 }
 QUERIES = {name: globals()[name] for name in SQL}
