@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import enrich, ngrams
 
 #: Minimum counts of syllables, words, bigrams and trigrams.
+ENRICHED = ("collocations", "compound_confusions", "register_tags")
 LEAST = {"syllables": 1, "words": 50, "bigrams": 10, "trigrams": 20}
 
 
@@ -72,11 +73,15 @@ def _once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
 
 
 def merge(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Counts of the tables of both builds (those of ``new``) added up; probabilities taken anew over the sums."""
+    """Counts of the tables of both builds (those of ``new``) added up; probabilities are taken anew over the sums, and enrichment from the merged words and bigrams."""
     out = {}
     for name in new:
+        value = next((c for c in ("cnt", "frequency") if c in old[name].columns), None)
+        if value is None or name in ENRICHED:
+            continue
         key = [c for c in old[name].columns if c not in ("cnt", "probability", "frequency")]
-        value = "cnt" if "cnt" in old[name].columns else "frequency"
         summed = enrich.upsert(old[name].select(*key, value), new[name].select(*key, value), key, (value,))
         out[name] = ngrams.conditional(summed) if "probability" in old[name].columns else summed
+    if any(name in ENRICHED for name in new) and {"words", "bigrams"} <= set(out):
+        out |= {name: df for name, df in enrichment(out).items() if name in new}
     return out

@@ -56,7 +56,10 @@ def ngram_counts(rows: DataFrame, n: int, min_count: int = 1, vocabulary: DataFr
 def conditional(counts: DataFrame) -> DataFrame:
     """Add ``probability``: cnt over the sum of cnt of the same prefix, as far as it was kept, to six places."""
     prefix = [c for c in counts.columns if c != "cnt"][:-1]
-    return counts.withColumn("probability", F.round(F.col("cnt") / F.sum("cnt").over(Window.partitionBy(*prefix)), 6))
+    # sums are combined before they are shuffled, and a join can split what follows a very common word; a window could not
+    total = counts.groupBy(*prefix).agg(F.sum("cnt").alias("_total"))
+    out = counts.join(total, prefix).withColumn("probability", F.round(F.col("cnt") / F.col("_total"), 6))
+    return out.select(*counts.columns, "probability")
 
 
 def top_continuations(bigrams: DataFrame, k: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Words from unspaced text by a language model of the dictionary; splits of compounds; entities.
 
-The model is the ``limit`` most frequent words (and bigrams among them), which bounds what is broadcast. Splits are made for distinct strings.
+``model`` is the ``limit`` most frequent words (and bigrams among them), which bounds what is broadcast; ``split_by_table`` takes a table of any size.
+Splits are made for distinct strings.
 """
 
 from __future__ import annotations
@@ -62,6 +63,25 @@ def split_words(column: Column, shared) -> Column:
     return split(column)
 
 
+def split_by_table(strings: DataFrame, words: DataFrame, longest: int = 20) -> DataFrame:
+    """(string, parts) of the distinct strings, split by a table of words (word, frequency) of any size.
+
+    The table is joined by the strings' own substrings of up to ``longest`` characters, so each string meets the words that it can have and no other.
+    """
+    known = words.filter((F.length("word") <= longest) & (F.col("frequency") > 0)).select("word", "frequency")
+    total = known.agg(F.coalesce(F.sum("frequency"), F.lit(1)).alias("total"))
+    asked = strings.select("string").filter("string is not null").distinct()
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("string")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("string") - i + 1)), lambda n: F.substring(F.col("string"), i, n))))
+    found = asked.filter("string <> ''").select("string", F.explode(F.array_distinct(pieces)).alias("word")).join(known, "word").crossJoin(F.broadcast(total))
+    models = found.groupBy("string").agg(F.map_from_entries(F.collect_list(F.struct("word", F.log(F.col("frequency") / F.col("total"))))).alias("uni"))
+
+    @F.pandas_udf(A.ArrayType(A.StringType()))
+    def split(s: pd.Series, uni: pd.Series) -> pd.Series:
+        return pd.Series([best_path(x, (dict(m or {}), {}, max(map(len, dict(m or {})), default=1))) for x, m in zip(s, uni, strict=True)])
+
+    return asked.join(models, "string", "left").select("string", split("string", "uni").alias("parts"))
+
+
 def parts_of(s: str, known: dict[str, float], least: int = 2, most: int = 4) -> list[str] | None:
     """Fewest known words (of ``least`` characters, at most ``most`` of them) that together are s; the likeliest of equal numbers."""
     best: list[tuple[int, float, list[str]] | None] = [(0, 0.0, [])] + [None] * len(s)

@@ -21,6 +21,13 @@ def test_build_resume_and_merge(spark, tmp_path):
     both = dictionary.merge(made, dictionary.package(dictionary.tables(seg(["a b", "a b", "a c", "a c"]), least=LEAST)))
     assert {tuple(r) for r in both["bigrams"].collect()} == {("a", "b", 4, round(4 / 6, 6)), ("a", "c", 2, round(2 / 6, 6))}
     assert {r["word"]: r["frequency"] for r in both["words"].collect()} == {"a": 7, "b": 5, "c": 4}
+    # two whole builds, with collocations and broken compounds: these are taken anew from the merged counts
+    other = dictionary.build(spark, seg(["a b", "a b", "ab", "ab"]), str(tmp_path / "e"), least=LEAST)
+    whole = dictionary.merge(made, other)
+    want = dictionary.enrichment({"words": whole["words"], "bigrams": whole["bigrams"]})
+    for name in ("collocations", "compound_confusions"):
+        assert {tuple(r) for r in whole[name].collect()} == {tuple(r) for r in want[name].collect()}
+    assert {r["word"]: r["frequency"] for r in whole["words"].collect()} == {"a": 5, "b": 5, "c": 2, "ab": 2}
 
 
 def test_windows_drop_with_the_third_word(spark):

@@ -66,3 +66,11 @@ def test_viterbi_and_marginals_equal_brute_force(spark):
     for i in range(3):
         for k, t in enumerate(every):
             assert math.isclose(got[0]["marginals"][i][k], sum(p(x) for x in paths if x[i] == t) / total, rel_tol=1e-6, abs_tol=1e-12)
+
+
+def test_split_by_table_equals_the_broadcast_model(spark):
+    words = lexicon(spark)
+    shared = segment.model(words)
+    strings = ["greenhouse", "thegreenhouse", "xxgreen", "", "a", "unknownword", "thegreenhouseisgreen"]
+    got = {r["string"]: r["parts"] for r in segment.split_by_table(spark.createDataFrame([(s,) for s in [*strings, "greenhouse", None]], "string string"), words).collect()}
+    assert got == {s: segment.best_path(s, shared.value) for s in strings}
