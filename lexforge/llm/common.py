@@ -124,7 +124,8 @@ def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
     )
     out = np.zeros(max(1 << bits, 32768) // 8, np.uint8)
-    for bucket, part in parts.toLocalIterator():
+    # up to 16 MB at once; a larger one partition by partition
+    for bucket, part in parts.collect() if bits <= 27 else parts.toLocalIterator():
         lo = (bucket - 1) * 4096
         out[lo : lo + 4096] = np.frombuffer(bytes(part), np.uint8)
     return out[: max(1, (1 << bits) // 8)]

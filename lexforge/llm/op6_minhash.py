@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     edges = _compared(small, sets(groups), percent)
     large = store(dealt.filter("blocks > 1"))
     if not large.isEmpty():
-        edges = edges.unionByName(_large_groups(large, sets, percent, block))
+        edges = edges.unionByName(_large_groups(large, sets(large), percent, block))
     found = components(edges)
     classes = classes.join(found, classes.rep == found.node, "left").select("set1", "set2", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.drop("keys").join(classes, ["set1", "set2"], "left")
@@ -258,13 +258,13 @@ def _compared(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return grouped.select("leader", "i", "j", "doc_id", "shingles").mapInArrow(_forest(percent), "a bigint, b bigint")
 
 
-def _large_groups(large: DataFrame, sets, percent: int, block: int) -> DataFrame:
+def _large_groups(large: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Edges (a, b) that connect what links connect in groups (leader, doc_id, blocks) of several blocks."""
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     leaders = large.select("leader", "blocks").distinct().select("leader", each("blocks").alias("i"), F.col("leader").alias("doc_id"))
     rows = large.filter("doc_id != leader").select("leader", own("blocks").alias("i"), "doc_id").unionByName(leaders)
-    met = rows.join(sets(large), "doc_id").repartition("leader", "i").sortWithinPartitions("leader", "i", F.col("doc_id") != F.col("leader"))
+    met = rows.join(sets, "doc_id").repartition("leader", "i").sortWithinPartitions("leader", "i", F.col("doc_id") != F.col("leader"))
     star = store(met.select("leader", "i", "doc_id", "shingles").mapInArrow(_star(percent), "leader bigint, doc_id bigint, linked boolean"))
     edges = star.filter("linked").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     rest = star.filter("not linked").select("leader", "doc_id")
@@ -274,7 +274,7 @@ def _large_groups(large: DataFrame, sets, percent: int, block: int) -> DataFrame
     both = large.join(n_rest, "leader")
     cells = rest.join(both, ["leader", "doc_id"]).select("leader", own("rests").alias("i"), each("blocks").alias("j"), "doc_id")
     cells = store(cells.unionByName(both.select("leader", each("rests").alias("i"), own("blocks").alias("j"), "doc_id")).distinct())
-    return edges.unionByName(_compared(cells, sets(cells), percent))
+    return edges.unionByName(_compared(cells, sets, percent))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
