@@ -96,10 +96,13 @@ class Part:
         ok[1:] = self.has[self.unit[:-1]]
         before[self.first[:-1]] = self.end
         ok[self.first[:-1]] = True
-        place = np.flatnonzero(ok)
-        v = mix((self.token[before[place]] + mix(self.hash)[self.unit[place]]) ^ _SALT[3]) >> U64(64 - bits)
+        place = np.flatnonzero(ok).astype(np.int32)
+        before, own = before[place], mix(self.hash)
+        v = np.empty(len(place), U64)
+        for lo, hi in _blocks(len(v)):
+            v[lo:hi] = mix((self.token[before[lo:hi]] + own[self.unit[place[lo:hi]]]) ^ _SALT[3]) >> U64(64 - bits)
         keys, number = _distinct([v])
-        self.follows = place, before[place], number[0]
+        self.follows = place, before, number[0]
         return keys
 
     def spread(self, x: np.ndarray) -> np.ndarray:
@@ -109,20 +112,26 @@ class Part:
     def contexts(self, bits: int) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray]]:
         """For each kind: places in ``data``, and context and byte in one word."""
         d, at = self.data, self.at
-        byte = d.astype(U64)
-        named = lambda v, kind, b: ((mix(v ^ _SALT[kind]) >> U64(64 - bits)) << U64(8)) | b
-        v = np.zeros(len(d), U64)
-        v[1:] = np.where(at[1:] > 0, byte[:-1] + U64(1), U64(0))
-        v[2:] |= np.where(at[2:] > 1, byte[:-2] + U64(1), U64(0)) << U64(9)
-        yield TWO, slice(None), named(v, TWO, byte)
+
+        def named(i: np.ndarray, kind: int, hashed) -> np.ndarray:
+            out = np.empty(len(i), U64)
+            for lo, hi in _blocks(len(i)):  # block by block, for the room that steps between take
+                j = i[lo:hi]
+                out[lo:hi] = ((mix(hashed(j) ^ _SALT[kind]) >> U64(64 - bits)) << U64(8)) | d[j]
+            return out
+
+        byte = lambda j, far: d[j - far].astype(U64)
+        spoken = lambda j, far: np.where(at[j] >= far, byte(np.maximum(j, far), far) + U64(1), U64(0))
+        i = np.arange(len(d), dtype=np.int32)
+        yield TWO, slice(None), named(i, TWO, lambda j: spoken(j, 1) | spoken(j, 2) << U64(9))
         i = np.flatnonzero(at >= _FROM[FOUR]).astype(np.int32)
-        v = byte[i - 1] | byte[i - 2] << U64(8) | byte[i - 3] << U64(16) | byte[i - 4] << U64(24)
-        yield FOUR, i, named(v, FOUR, byte[i])
+        yield FOUR, i, named(i, FOUR, lambda j: byte(j, 1) | byte(j, 2) << U64(8) | byte(j, 3) << U64(16) | byte(j, 4) << U64(24))
         i = np.flatnonzero(at >= _FROM[PREFIX]).astype(np.int32)
-        v = np.zeros(len(d) + 1, U64)
-        np.cumsum(_BYTE[d] * _POW.upto(int(at.max(initial=0)) + 1)[at], out=v[1:])
-        v = v[i] - v[self.off[self.kind_of[i]]]
-        yield PREFIX, i, named(v, PREFIX, byte[i])
+        sums, power = np.zeros(len(d) + 1, U64), _POW.upto(int(at.max(initial=0)) + 1)
+        for lo, hi in _blocks(len(d)):
+            np.cumsum(_BYTE[d[lo:hi]] * power[at[lo:hi]], out=sums[lo + 1 : hi + 1])
+            sums[lo + 1 : hi + 1] += sums[lo]
+        yield PREFIX, i, named(i, PREFIX, lambda j: sums[j] - sums[self.off[self.kind_of[j]]])
 
     def numbered(self, bits: int) -> np.ndarray:
         """Sorted distinct pairs; ``number`` gets the number of the pair at each byte of ``data`` for each kind, -1 where it doesn't speak."""
@@ -207,6 +216,10 @@ class Part:
         return -out / np.log(10)
 
 
+def _blocks(n: int, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    return ((lo, min(n, lo + size)) for lo in range(0, n, size))
+
+
 def _distinct(arrays: Iterable[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """(sorted distinct values of all arrays, for each array their numbers); equal values of two arrays, which hashes have by chance only, are two."""
     keys, numbers, n = [], [], 0
@@ -367,7 +380,10 @@ def _asked(bits: int, buckets: int, flush: int):
     """Arrow function: (doc_id, text) to rows by task part. Of each kind (tokens, pairs, followers, in this order) ``buckets`` buckets get sorted numbers with their training counts; buckets below 0 get the documents as runs of units."""
     names, types = ["bucket", "part", "a", "b", "c"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
-    def rows(key: int, ids: np.ndarray, stats: np.ndarray, buf: np.ndarray, lens: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> Iterator[tuple]:
+    def rows(key: int, joined: list[np.ndarray]) -> Iterator[tuple]:
+        ids, stats, buf, lens, counts, hashes = joined
+        joined.clear()
+        first = np.r_[0, np.cumsum(counts)]
         d = pa.array(hashes).dictionary_encode()
         unit = d.indices.to_numpy(zero_copy_only=False)
         lead = np.empty(len(d.dictionary), np.int64)
@@ -379,6 +395,7 @@ def _asked(bits: int, buckets: int, flush: int):
         start, kept = (np.cumsum(lens, dtype=np.int64) - lens)[lead], lens[lead]
         shift = start - (np.cumsum(kept, dtype=np.int64) - kept)
         data = buf[np.repeat(shift, kept) + np.arange(int(kept.sum()))]
+        del buf, lens, hashes, d, shift, start, rank, order, lead
         part = Part(data, kept, unit, first)
         yield -1 - key % buckets, key, packed(np.c_[ids, stats, np.diff(first)].astype("<i8")), _joined(packed(data), packed(kept.astype("<u4"))), packed(unit.astype("<u4"))
         pairs, followers = part.numbered(bits), part.followers(bits)
@@ -396,9 +413,9 @@ def _asked(bits: int, buckets: int, flush: int):
             for x in held:  # the pieces go as they are joined
                 joined.append(np.concatenate(x))
                 x.clear()
-            ids, stats, buf, lens, counts, hashes = joined
-            del joined
-            return _batch(list(rows((task << 24) + part, ids, stats, buf, lens, np.r_[0, np.cumsum(counts)], hashes)), names, types)
+            made = _batch(list(rows((task << 24) + part, joined)), names, types)
+            pa.default_memory_pool().release_unused()
+            return made
 
         for b in batches:
             own = b.column(0).cast(pa.int64())
@@ -482,6 +499,7 @@ def _scored(bits: int):
                 elif part != now:
                     if row is not None:
                         yield out(row, answers)
+                        pa.default_memory_pool().release_unused()
                     now, row, answers = part, (x, y, z), ([], [], [])
                 else:
                     answers[kind - 1].append(x)
