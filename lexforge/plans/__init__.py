@@ -1,5 +1,5 @@
 """Queries on the test tables."""
 
-from . import checks, corpus, grammar, myanmar, script
+from . import checks, corpus, grammar, myanmar, probes, script
 
-MODULES = (corpus, checks, myanmar, script, grammar)
+MODULES = (corpus, checks, myanmar, script, grammar, probes)

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
+import os
+import sqlite3
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import for_ingestion, script_ratio
 
@@ -13,6 +21,10 @@ SUFFIXES = {"txt": "text", "csv": "csv", "tsv": "csv", "json": "json", "jsonl":
 SAMPLE = ("မြန်မာစာသည် မြန်မာနိုင်ငံ၏ ဘာသာစကားဖြစ်သည်။", "ကျောင်းသားများ စာဖတ်ကြသည်။", "သူသည် ဈေးသို့ သွားသည်။")
 
 
+#: Column types of SQLite; all others are text, structured ones as JSON.
+SQLITE_TYPES = {"long": "INTEGER", "integer": "INTEGER", "short": "INTEGER", "byte": "INTEGER", "boolean": "INTEGER", "double": "REAL", "float": "REAL", "binary": "BLOB"}
+
+
 def sample(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(x, "sample") for x in SAMPLE], "text string, source string")
 
@@ -108,3 +120,57 @@ def read_table(spark: SparkSession, path: str, schema: str, kind: str = "parquet
     if kind == "csv":
         return r.option("header", "true").csv(path)
     return r.json(path) if kind in ("json", "jsonl") else r.parquet(path)
+
+
+def write_sqlite(tables: dict[str, DataFrame], path: str, keys: dict[str, list[str]] | None = None, batch: int = 10_000) -> None:
+    """One SQLite file of the tables, with an index on the keys of each; it replaces a file there.
+
+    A file has one writer, the driver, which takes the rows partition by partition and never holds more than the largest one.
+    The file is complete or not there: it is written under another name first.
+    """
+    part = f"{path}.part"
+    if os.path.exists(part):
+        os.remove(part)
+    with contextlib.closing(sqlite3.connect(part)) as con:
+        for name, rows in tables.items():
+            cols = ", ".join(f"{_quoted(f.name)} {SQLITE_TYPES.get(f.dataType.typeName(), 'TEXT')}" for f in rows.schema)
+            con.execute(f"CREATE TABLE {_quoted(name)} ({cols})")
+            into = f"INSERT INTO {_quoted(name)} VALUES ({', '.join('?' * len(rows.columns))})"
+            values = (tuple(r) for r in _flat(rows).toLocalIterator())
+            while some := list(itertools.islice(values, batch)):
+                con.executemany(into, some)
+            if keys and keys.get(name):
+                con.execute(f"CREATE INDEX {_quoted('by_' + name)} ON {_quoted(name)} ({', '.join(map(_quoted, keys[name]))})")
+            con.commit()
+    os.replace(part, path)
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, batch: int = 100_000) -> DataFrame:
+    """Rows of a table of a SQLite file that all executors see, read in ranges of row ids."""
+    with contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
+        least, most = con.execute(f"SELECT coalesce(min(rowid), 1), coalesce(max(rowid), 0) FROM {_quoted(table)}").fetchone()
+    kind = spark.createDataFrame([], schema).schema
+    ask = f"SELECT {', '.join(_quoted(c) for c in kind.names)} FROM {_quoted(table)} WHERE rowid BETWEEN ? AND ?"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = to_arrow_schema(kind)
+        with contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
+            for b in batches:
+                for first in b.column(0).to_pylist():
+                    got = con.execute(ask, (first, first + batch - 1)).fetchall()
+                    cols = zip(*got, strict=True) if got else [[] for _ in form]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, form, strict=True)], schema=form)
+
+    starts = spark.range(least, most + 1, batch, max(1, min(1000, (most - least) // batch + 1)))
+    return starts.mapInArrow(rows, kind)
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    """Columns that SQLite has no type for as strings."""
+    text = lambda c, kind: F.to_json(c) if kind in ("array", "map", "struct") else c.cast("string")
+    cols = [(f.name, f.dataType.typeName(), F.col("`" + f.name.replace("`", "``") + "`")) for f in rows.schema]
+    return rows.select(*[(c if kind in SQLITE_TYPES or kind == "string" else text(c, kind)).alias(name) for name, kind, c in cols])
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'

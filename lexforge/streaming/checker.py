@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import text as T
+
 
 def lines(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
     """Streaming (text, source) of the text files that arrive in a folder; the number of files at a time bounds the memory."""
@@ -26,6 +28,27 @@ def check(stream: DataFrame, check_lines: Callable[[DataFrame], DataFrame], sink
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def sentences(stream: DataFrame, text: str = "text") -> DataFrame:
+    """Each line as its sentences (n from 0, sentence); the other columns stay."""
+    return stream.select(*[c for c in stream.columns if c != text], F.posexplode(T.sentences(F.col(text))).alias("n", "sentence"))
+
+
+def isolated(check_one: Callable[[str], object], kind: str) -> Callable[[Column | str], Column]:
+    """A check of one text as a column of (value, error): a text whose check fails has the failure there and stops neither its batch nor the stream; null has neither."""
+
+    @F.pandas_udf(f"value {kind}, error string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows: list[tuple[object, str | None]] = []
+        for x in texts:
+            try:
+                rows.append((None if x is None else check_one(x), None))
+            except Exception as e:  # noqa: BLE001 - any failure is the result of its row
+                rows.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame({"value": pd.Series([v for v, _ in rows], dtype=object), "error": [e for _, e in rows]})
+
+    return run
+
+
 def with_context(stream: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text", n: int = 100) -> DataFrame:
     """Streaming (key, order, text, context): the last n characters of the line before in the same sequence, kept as state between batches.
 
