@@ -93,7 +93,7 @@ def unknown_words(toks: DataFrame, doc: str, words: DataFrame, suggestions: Data
 
 def by_table(near: DataFrame, doc: str, rules: DataFrame, kind: str, priority: int) -> DataFrame:
     """Rules (token, left, right, fix, confidence): a token that stands between these neighbours; a null neighbour fits all. Particles, suffixes, homophones, collocations, tense, registers and classifiers are tables of this form."""
-    r = F.broadcast(rules.select(F.col("token").alias("r_token"), F.col("left").alias("r_left"), F.col("right").alias("r_right"), "fix", F.col("confidence").alias("r_conf")))
+    r = rules.select(F.col("token").alias("r_token"), F.col("left").alias("r_left"), F.col("right").alias("r_right"), "fix", F.col("confidence").alias("r_conf"))
     x = near.join(r, (F.col("token") == F.col("r_token")) & (F.col("r_left").isNull() | F.col("r_left").eqNullSafe(F.col("prev"))) & (F.col("r_right").isNull() | F.col("r_right").eqNullSafe(F.col("next"))))
     return x.select(*_error(doc, kind, F.col("fix"), F.col("r_conf"), priority))
 
@@ -138,7 +138,7 @@ def unlikely(near: DataFrame, doc: str, bigrams: DataFrame, threshold: float = 0
 def invalid_tags(tagged: DataFrame, doc: str, pairs: DataFrame, priority: int = 30) -> DataFrame:
     """Tokens whose tag may not follow the one before; pairs (tag1, tag2, severity)."""
     before = F.lag("tag").over(Window.partitionBy(doc).orderBy("idx"))
-    x = tagged.withColumn("tag1", before).withColumn("tag2", F.col("tag")).join(F.broadcast(pairs), ["tag1", "tag2"])
+    x = tagged.withColumn("tag1", before).withColumn("tag2", F.col("tag")).join(pairs, ["tag1", "tag2"])
     return x.select(*_error(doc, "pos_sequence", F.lit(None).cast("string"), F.col("severity"), priority))
 
 

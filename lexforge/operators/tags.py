@@ -25,7 +25,7 @@ def bigram_laplace(seq: DataFrame) -> DataFrame:
     tags = seq.select(F.col("tag1").alias("tag")).distinct()
     pairs = seq.filter("tag2 is not null").groupBy("tag1", "tag2").agg(F.count("*").alias("cnt"))
     before = pairs.groupBy("tag1").agg(F.sum("cnt").alias("pred"))
-    grid = tags.toDF("tag1").crossJoin(F.broadcast(tags.toDF("tag2"))).crossJoin(F.broadcast(tags.agg(F.count("*").alias("v"))))
+    grid = tags.toDF("tag1").crossJoin(tags.toDF("tag2")).crossJoin(F.broadcast(tags.agg(F.count("*").alias("v"))))
     out = grid.join(pairs, ["tag1", "tag2"], "left").join(before, "tag1", "left").na.fill(0, ["cnt", "pred"])
     return out.select("tag1", "tag2", "cnt", ((F.col("cnt") + 1) / (F.col("pred") + F.col("v"))).alias("probability"))
 
@@ -35,7 +35,7 @@ def trigram_laplace(seq: DataFrame) -> DataFrame:
     tags = seq.select(F.col("tag1").alias("tag")).distinct()
     triples = seq.filter("tag2 is not null and tag3 is not null").groupBy("tag1", "tag2", "tag3").agg(F.count("*").alias("cnt"))
     prefix = triples.groupBy("tag1", "tag2").agg(F.sum("cnt").alias("pred"))
-    grid = prefix.crossJoin(F.broadcast(tags.toDF("tag3"))).crossJoin(F.broadcast(tags.agg(F.count("*").alias("v"))))
+    grid = prefix.crossJoin(tags.toDF("tag3")).crossJoin(F.broadcast(tags.agg(F.count("*").alias("v"))))
     out = grid.join(triples, ["tag1", "tag2", "tag3"], "left").na.fill(0, ["cnt"])
     return out.select("tag1", "tag2", "tag3", "cnt", ((F.col("cnt") + 1) / (F.col("pred") + F.col("v"))).alias("probability"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import grammar, ngrams, probes, suggest
+from ..operators import grammar, joint, ngrams, probes, suggest, tags
 from .checks import _CAND, _P2, _candidates
 from .corpus import GRAMS, ONE_BYTE, WORDS, bigram_table, docs, word_table
 from .grammar import K, near
@@ -13,6 +14,8 @@ from .script import _RAW_SQL, _SYL, V, W, _breaks, script_errors, spelled, spell
 
 PAIRS = [("is", "was"), ("was", "is"), ("the", "that"), ("that", "the"), ("der", "die"), ("die", "der"), ("la", "le"), ("de", "en"), ("of", "to"), ("to", "of"), ("and", "in")]
 RULES = [(None, "the", 2), (None, "de", 1), ("dela", "de", 3), ("ofthe", None, 1), ("thhe", "the", 1)]
+#: Tags of words by their end.
+ENDS = (("S", "[.!?]$"), ("D", "[0-9]$"), ("V", "[aeiou]$"), ("C", "[a-z]$"))
 #: Initials as in the operator, and what capitals and small letters are spelled with.
 INITIALS = probes.ASPIRATED | {"ဘ": "ဗ", "ဓ": "ဒ", "ဆ": "စ"}
 
@@ -81,6 +84,32 @@ def swapped_initials(spark, d):
     return probes.swapped_initial(every, every.filter("frequency >= 20"), 20, INITIALS)
 
 
+def _tagger(spark, d):
+    """Emissions and tag model of the documents, each word tagged by its end."""
+    rows = docs(spark, d).select("doc_id", F.posexplode(text.words(F.col("text"))).alias("i", "word"))
+    tagged = rows.withColumn("tag", F.coalesce(*[F.when(F.col("word").rlike(p), F.lit(t)) for t, p in ENDS], F.lit("X")))
+    own = tags.histogram(tagged, "word", "tag", 0.0)
+    emissions = own.withColumn("p", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("word"))).select("word", "tag", "p")
+    seq = tags.sequences(tagged, "doc_id", ["i"], "tag")
+    model = joint.tag_model(tags.unigram(seq), tags.bigram_laplace(seq), tags.trigram_laplace(seq))
+    return emissions, model
+
+
+def trigram_tags(spark, d):
+    """Tags of all words of the benchmark under interpolated trigrams of the documents."""
+    emissions, model = _tagger(spark, d)
+    rows = docs(spark, d, "benchmark").select("item_id", text.words(F.col("text")).alias("words"))
+    return joint.tag(rows, "item_id", emissions, model).select("item_id", F.size("words").cast("long").alias("n"), F.array_join("tags", " ").alias("tags"))
+
+
+def joint_tags(spark, d):
+    """Words and tags of the benchmark's words, written together three by three."""
+    emissions, model = _tagger(spark, d)
+    three = docs(spark, d, "benchmark").select(F.explode(grammar.windows_of(text.words(F.col("text")), 3)).alias("string")).distinct()
+    got = joint.segment_and_tag(three, word_table(spark, d, 5), emissions, model)
+    return got.select("string", F.array_join("words", " ").alias("words"), F.array_join("tags", " ").alias("tags"))
+
+
 _FORM = "CASE " + " ".join(f"WHEN regexp_matches(word, '{p}') THEN '{n}'" for n, p in probes.FRAGMENTS + probes.INCOMPLETE + probes.WRONG_START) + " END"
 _VALID = f"vs AS (SELECT s AS syllable, count(*) AS frequency FROM s WHERE regexp_matches(s, '[က-၏]') GROUP BY s HAVING {_breaks('s')} = '')"
 _BK = K.replace("documents", "benchmark").replace("doc_id", "item_id")
@@ -131,4 +160,4 @@ z AS (SELECT *, coalesce(lag(taken) OVER (PARTITION BY doc_id, run ORDER BY pos)
 SELECT doc_id, CAST(pos AS INTEGER) AS "at", CASE WHEN taken THEN two ELSE s END AS syllable, CASE WHEN taken THEN v END AS verdict, CASE WHEN taken AND v = 'joined' THEN two || '{text.ASAT}' END AS fix FROM z WHERE NOT second""",
     "swapped_initials": f"WITH {V}, {_SYL}, f AS (SELECT s AS syllable, count(*) AS frequency FROM s WHERE regexp_matches(s, '[က-၏]') GROUP BY s), y AS (SELECT syllable, CASE syllable[1:1] {' '.join(f'WHEN {a!r} THEN {b!r}' for a, b in INITIALS.items())} END || syllable[2:] AS fix FROM f WHERE frequency < 20) SELECT y.syllable, fix, f.frequency FROM y JOIN f ON f.syllable = fix WHERE f.frequency >= 20",
 }
-QUERIES = {name: globals()[name] for name in SQL} | {"compound_lookup": compound_lookup}
+QUERIES = {name: globals()[name] for name in SQL} | {"compound_lookup": compound_lookup, "trigram_tags": trigram_tags, "joint_tags": joint_tags}

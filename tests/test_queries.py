@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_queries_without_sql():
-    assert set(QUERIES) - set(SQL) == {"symspell_ranked", "unknown_words", "viterbi_tags", "tag_disambiguation", "check_documents", "compound_lookup"}
+    assert set(QUERIES) - set(SQL) == {"symspell_ranked", "unknown_words", "viterbi_tags", "tag_disambiguation", "check_documents", "compound_lookup", "trigram_tags", "joint_tags"}
 
 
 def test_unknown_words(spark, con):
