@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexforge.functions.bits import may_be_in
-from lexforge.operators import enrich, ngrams
+from lexforge.operators import detect, enrich, ngrams
 
 
 def test_may_be_in(spark):
@@ -25,3 +25,11 @@ def test_pairs_are_spared_before_they_are_counted(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Aggregate [w1") :]
     assert "xxhash64" in below and [tuple(r[:5]) for r in got.collect()] == [("ab", "a", "b", 2, 2)]
+
+
+def test_hidden_compounds_spare_tokens(spark):
+    near = detect.near_tokens(spark.createDataFrame([(1, "a b c"), (2, "b a")], "doc_id bigint, text string"), "doc_id", "text")
+    words = spark.createDataFrame([("ab", 9), ("a", 2), ("b", 9), ("bc", 1)], "word string, frequency bigint")
+    got = detect.hidden_compounds(near, "doc_id", words, 2.0)
+    assert "xxhash64" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["doc_id"], r["start"], r["end"], r["fix"]) for r in got.collect()] == [(1, 0, 3, "ab")]
