@@ -33,3 +33,11 @@ def test_hidden_compounds_spare_tokens(spark):
     got = detect.hidden_compounds(near, "doc_id", words, 2.0)
     assert "xxhash64" in got._jdf.queryExecution().optimizedPlan().toString()
     assert [(r["doc_id"], r["start"], r["end"], r["fix"]) for r in got.collect()] == [(1, 0, 3, "ab")]
+
+
+def test_rule_tables_shuffle_no_tokens(spark):
+    near = detect.near_tokens(spark.createDataFrame([(1, "the and the"), (2, "and")], "doc_id bigint, text string"), "doc_id", "text")
+    rules = spark.createDataFrame([("the", None, "and", "x", 0.5), ("and", "the", None, "y", 0.5)], "token string, left string, right string, fix string, confidence double")
+    got = detect.by_table(near, "doc_id", rules, "rule", 1)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["doc_id"], r["start"], r["fix"]) for r in got.collect()) == [(1, 0, "x"), (1, 4, "y")]
