@@ -41,3 +41,9 @@ def test_rule_tables_shuffle_no_tokens(spark):
     got = detect.by_table(near, "doc_id", rules, "rule", 1)
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["doc_id"], r["start"], r["fix"]) for r in got.collect()) == [(1, 0, "x"), (1, 4, "y")]
+
+
+def test_entities_shuffle_no_errors(spark):
+    errors = spark.range(3).select(F.concat(F.lit("t"), "id").alias("text"), "id")
+    got = detect.drop_entities(errors, spark.createDataFrame([("t1",)], "entity string"))
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString() and sorted(r["id"] for r in got.collect()) == [0, 2]
