@@ -45,6 +45,17 @@ def test_moved(spark):
     assert {(r["doc_id"], r["at"]): r["new_at"] for r in probes.moved(rows, "doc_id", "at", spans).collect()} == want
 
 
+def test_moved_shares_a_shuffle(spark):
+    """Both ends of matches at once are as one after the other, with one exchange of the rows."""
+    random.seed(8)
+    spans = spark.createDataFrame([(d, 10 * i + 1, 10 * i + 1 + random.randint(1, 8)) for d in range(4) for i in range(9)], "doc_id bigint, start int, end int")
+    rows = spark.createDataFrame([(random.randint(0, 5), a := random.randint(0, 95), a + random.randint(0, 9)) for _ in range(300)], "doc_id bigint, start int, end int")
+    once = probes.moved(rows, "doc_id", ["start", "end"], spans)
+    twice = probes.moved(probes.moved(rows, "doc_id", "start", spans), "doc_id", "end", spans)
+    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+
+
 def test_across_spaces(spark):
     """Against taking runs one after another, wider ones first."""
     random.seed(3)
