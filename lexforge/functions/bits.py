@@ -13,8 +13,8 @@ def small(table: DataFrame, rows: int = 100_000) -> bool:
     return table.limit(rows + 1).count() <= rows
 
 
-def may_be_in(table: DataFrame, keys: list[str], *columns: Column | str, bits: int = _BITS) -> Column:
-    """True where the columns may be equal to a row of the keys of ``table``, and for each that is; else null or false. An exact join has to follow.
+def members(table: DataFrame, keys: list[str], bits: int = _BITS):
+    """A function of columns: true where they may be equal to a row of the keys of ``table``, and for each that is; else null or false. An exact join has to follow.
 
     The bitmap is one row of ``bits`` bits, so the condition is an expression that Spark can move below an aggregation or a join.
     """
@@ -24,5 +24,14 @@ def may_be_in(table: DataFrame, keys: list[str], *columns: Column | str, bits: i
     every = table.sparkSession.range(bits // 64).toDF("i").join(words, "i", "left").na.fill(0, ["b"])
     runs = every.groupBy(F.floor(F.col("i") / _RUN).alias("r")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]).alias("b"))
     bitmap = runs.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("r", "b"))), lambda x: x["b"])).alias("b")).scalar()
-    own = at(columns)
-    return F.call_function("shiftright", F.get(bitmap, F.shiftright(own, 6).cast("int")), own.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    def has(*columns: Column | str) -> Column:
+        own = at(columns)
+        return F.call_function("shiftright", F.get(bitmap, F.shiftright(own, 6).cast("int")), own.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    return has
+
+
+def may_be_in(table: DataFrame, keys: list[str], *columns: Column | str, bits: int = _BITS) -> Column:
+    """``members`` for one set of columns."""
+    return members(table, keys, bits)(*columns)

@@ -47,3 +47,17 @@ def test_entities_shuffle_no_errors(spark):
     errors = spark.range(3).select(F.concat(F.lit("t"), "id").alias("text"), "id")
     got = detect.drop_entities(errors, spark.createDataFrame([("t1",)], "entity string"))
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString() and sorted(r["id"] for r in got.collect()) == [0, 2]
+
+
+def test_questions_and_tones_without_windows_over_tokens(spark):
+    docs = spark.createDataFrame([(1, "who goes"), (2, "he goe"), (None, "who run"), (3, "run who"), (4, None)], "doc_id bigint, text string")
+    near = detect.near_tokens(docs, "doc_id", "text")
+    for toks in (near, detect.tokens(docs, "doc_id", "text")):
+        got = detect.question_ends(toks, "doc_id", ("who",), ("e", "s"))
+        assert sorted((str(r["doc_id"]), r["text"], r["fix"]) for r in got.collect()) == [("3", "who", "whoe"), ("None", "run", "rune")]
+    assert "Window" not in detect.question_ends(near, "doc_id", ("who",), ("e", "s"))._jdf.queryExecution().optimizedPlan().toString()
+    words = spark.createDataFrame([("ကား", 100), ("က", 1), ("က့", 50)], "word string, frequency bigint")
+    toks = detect.tokens(spark.createDataFrame([(1, "ကား က က့ က"), (2, "က")], "doc_id bigint, text string"), "doc_id", "text")
+    got = detect.tone_probes(toks, "doc_id", words, 20.0)
+    assert sorted((r["doc_id"], r["start"], r["fix"]) for r in got.collect()) == [(1, 4, "က့"), (1, 9, "က့"), (2, 0, "က့")]
+    assert "_w0" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "windowspecdefinition(doc_id" not in plan
