@@ -61,3 +61,14 @@ def test_questions_and_tones_without_windows_over_tokens(spark):
     got = detect.tone_probes(toks, "doc_id", words, 20.0)
     assert sorted((r["doc_id"], r["start"], r["fix"]) for r in got.collect()) == [(1, 4, "က့"), (1, 9, "က့"), (2, 0, "က့")]
     assert "_w0" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "windowspecdefinition(doc_id" not in plan
+
+
+def test_unknown_words_spare_known_tokens(spark):
+    toks = detect.tokens(spark.createDataFrame([(1, "a bb a cc"), (None, "bb dd"), (2, None)], "doc_id bigint, text string"), "doc_id", "text")
+    words = spark.createDataFrame([("a", 9), ("cc", 1)], "word string, frequency bigint")
+    best = spark.createDataFrame([("bb", "b"), ("zz", "z")], "query string, term string")
+    want = [("1", 2, "bb", "b"), ("1", 7, "cc", None), ("None", 0, "bb", "b"), ("None", 3, "dd", None)]
+    for more in ({}, {"unknown": spark.createDataFrame([("bb",), ("cc",), ("dd",)], "token string")}):
+        got = detect.unknown_words(toks, "doc_id", words, best, 2, **more)
+        assert "xxhash64" in got._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((str(r["doc_id"]), r["start"], r["text"], r["fix"]) for r in got.collect()) == want
