@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge.functions.distance import alignment
-from lexforge.operators import probes
+from lexforge.operators import compounds, probes
 from lexforge.plans.probes import QUERIES
 from lexforge.sources import corpus
 
@@ -109,6 +109,30 @@ def test_lookup_compound(spark):
     assert got == {s: brute_compound(s, words, 20, 24, 2, 5) for s in set(strings) - {""}}
 
 
+def test_compound_of_fewer_words(spark):
+    """Where the fewest edits would take more words than are allowed, fewer words with an edit are found, behind a beginning that has as many without one."""
+    words = [(w, 20) for w in ("ab", "cd", "ef", "gh", "ij", "kl")] + [("abcdefghik", 30)]
+    rows = spark.createDataFrame([("abcdefghijkl",), ("abcdefghij",), ("xyxyxyxy",)], "string string")
+    got = {r["string"]: (r["parts"], r["distance"], r["frequency"]) for r in probes.lookup_compound(rows, words_of(spark, words), 1, 20).collect()}
+    assert got == {"abcdefghijkl": (["abcdefghik", "kl"], 1, 50), "abcdefghij": (["ab", "cd", "ef", "gh", "ij"], 0, 100), "xyxyxyxy": (["xyxyxyxy"], 8, 0)}
+
+
+def test_compounds_without_rows_of_pieces(spark):
+    """However many terms a worker holds, the splits are those of brute force; where it holds all there is no row but the strings'."""
+    random.seed(12)
+    letters = "abé😀"
+    words = {"".join(random.choice(letters) for _ in range(random.randint(1, 6))): random.choice([5, 20, 20, 21, 40]) for _ in range(60)}
+    strings = {"".join(random.choice(letters) for _ in range(random.randint(1, 8))) for _ in range(150)} | {"ab" * 13}
+    rows, table = spark.createDataFrame([(s,) for s in strings], "string string"), words_of(spark, list(words.items()))
+    want = {s: brute_compound(s, words, 20, 24, 2, 3) for s in strings}
+    assert {d for _, d, _ in want.values()} >= {0, 1, 2}
+    for local in (0, 100, 6_000_000):
+        found = compounds.lookup(rows, table, 20, most=3, local=local)
+        assert {r["string"]: (list(r["parts"]), r["distance"], r["frequency"]) for r in found.collect()} == want
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert probes.lookup_compound(rows, table.limit(0), 1, 20).filter("frequency = 0").count() == len(strings)
+
+
 def test_compound_lookup_query(spark):
     con = connection()
     words = dict(con.execute("SELECT w, count(*) FROM (SELECT unnest(regexp_extract_all(lower(text), '[^ \\t\\n\\r]+')) AS w FROM documents) GROUP BY w").fetchall())
