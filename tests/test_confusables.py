@@ -83,9 +83,10 @@ def test_other_order_is_an_error():
     words = pa.array(["b", "c"])
     sets = confusables.Sets(words, confusables.np.array([0]), confusables.np.array([1]), confusables.np.array([2, 2]))
     part = confusables._Part(pa.RecordBatch.from_pydict({"d": [1, 2], "low": ["a b", "b c"], "raw": pa.nulls(2, pa.string())}), sets, 1, True)
-    answer = confusables._pack(*(confusables.np.array(x, "<i4") for x in ([1, 1], [0, 0], [], [])))
+    answer = confusables._pack(*(confusables.np.array(x, kind) for x, kind in (([1, 1], "<u4"), ([1, 1], "<u4"), ([0, 0], "u1"), ([], "<i4"), ([], "<i4"), ([], "<u4"))))
+    assert confusables._Told(part.left, [answer], part.left.check, sets, False).p.tolist() == [1_000_000, 1_000_000]
     with pytest.raises(ValueError, match="another order"):
-        confusables._Told(part.left, [answer], part.left.check + 1, sets.n)
+        confusables._Told(part.left, [answer], part.left.check + 1, sets, False)
 
 
 def test_tokens_in_pieces(monkeypatch):
